@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import fair_mix, line_rules, simhash_ring
+from . import cross_parse, fair_mix, line_rules, simhash_ring
 
 
 def queries() -> dict:
     return {
         "op2_line_rules": line_rules.query,
+        "op3_cross_parse": cross_parse.query,
         "op5_simhash_ring": simhash_ring.query,
         "op10_fair_mix": fair_mix.query,
     }

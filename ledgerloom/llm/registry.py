@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import cross_parse, fair_mix, line_rules, simhash_ring
+from . import cross_parse, fair_mix, line_rules, simhash_ring, toxic_mil
 
 
 def queries() -> dict:
     return {
         "op2_line_rules": line_rules.query,
         "op3_cross_parse": cross_parse.query,
+        "op4_toxic_mil": toxic_mil.query,
         "op5_simhash_ring": simhash_ring.query,
         "op10_fair_mix": fair_mix.query,
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cross_parse, fair_mix, line_rules, simhash_ring, toxic_mil
+from . import cross_parse, fair_mix, kn_quality, line_rules, simhash_ring, toxic_mil
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_cross_parse": cross_parse.query,
         "op4_toxic_mil": toxic_mil.query,
         "op5_simhash_ring": simhash_ring.query,
+        "op6_kn_quality": kn_quality.query,
         "op10_fair_mix": fair_mix.query,
     }
 
@@ -18,5 +19,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_rules": line_rules.ORACLE_SQL,
+        "op6_kn_quality": kn_quality.query,
         "op10_fair_mix": fair_mix.ORACLE_SQL,
     }

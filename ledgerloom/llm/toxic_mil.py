@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents
+from .common import documents, written
 
 ROWS_PER_CLASS = 2000
 MIN_ROWS = 4  # a word is a feature if so many sampled documents have it ...
@@ -53,21 +53,29 @@ def features(words) -> set[str]:
     return {*words, *(w[:k] + "*" for w in words for k in PREFIXES if len(w) >= k)}
 
 
-def _selected(bags: list[set[str]], y: np.ndarray) -> list[str]:
-    """Words whose document shares differ between the labels by more than chance."""
-    n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    seen: dict[str, list[int]] = {}
-    for bag, label in zip(bags, y.tolist()):
-        for w in bag:
-            seen.setdefault(w, [0, 0])[label] += 1
-    found = []
-    for w, (a0, a1) in seen.items():
-        if a0 + a1 >= MIN_ROWS:
-            p = (a0 + a1) / (n0 + n1)
-            z = abs(a1 / n1 - a0 / n0) / max(1e-9, (p * (1 - p) * (1 / n1 + 1 / n0)) ** 0.5)
-            if z >= MIN_Z:
-                found.append((-z, w))
-    return [w for _, w in sorted(found)[:MAX_FEATURES]]
+def _bag_features(text: str | None) -> set[str]:
+    return set().union(*(features(words) for _, _, words in sentences(text or "")))
+
+
+def selected(sample: DataFrame) -> list[str]:
+    """Features of the sample (text, toxic) whose document shares differ between the labels by more than chance.
+
+    The counts of all features stay on the executors; at most MAX_FEATURES names come to the driver.
+    """
+    n = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
+    n1, n0 = float(n.get(1, 0)), float(n.get(0, 0))
+    if not n0 or not n1:
+        return []
+
+    def bags(batches):
+        for rows in batches:
+            found = [(w, y) for t, y in zip(rows["text"], rows["toxic"]) for w in _bag_features(t)]
+            yield pd.DataFrame(found, columns=["w", "y"])
+
+    counts = sample.select("text", "toxic").mapInPandas(bags, "w string, y int").groupBy("w").agg(F.sum("y").alias("a1"), F.count(F.lit(1)).alias("a"))
+    share = f"(a / {n0 + n1})"
+    z = F.expr(f"abs(a1 / {n1} - (a - a1) / {n0}) / sqrt(greatest({share} * (1 - {share}) * {1 / n1 + 1 / n0}, 1e-18D))")
+    return [r["w"] for r in counts.where(f"a >= {MIN_ROWS}").withColumn("z", z).where(f"z >= {MIN_Z}").orderBy(F.desc("z"), "w").limit(MAX_FEATURES).collect()]
 
 
 class Model:
@@ -95,19 +103,17 @@ class Model:
         return float(-np.expm1(clean)), offending
 
 
-def train(texts: list[str], labels: list[int], rounds: int = 300, rate: float = 0.15, ridge: float = 1e-4) -> Model:
+def train(texts: list[str], labels: list[int], names: list[str], rounds: int = 300, rate: float = 0.15, ridge: float = 1e-4) -> Model:
     """Full-batch Adam on the log-likelihood of the document labels under the noisy-or."""
     y = np.array(labels, dtype=np.int64)
     if not len(y) or y.min() == y.max():
         return Model({}, -50.0)
-    parsed = [[features(w) for _, _, w in sentences(t or "")] for t in texts]
-    names = _selected([set().union(*p) if p else set() for p in parsed], y)
     index = {w: i for i, w in enumerate(names)}
     doc, sent, feat, n = [], [], [], 0
-    for d, bag in enumerate(parsed):
-        for words in bag:
+    for d, text in enumerate(texts):
+        for _, _, words in sentences(text or ""):
             doc.append(d)
-            for w in sorted(words & index.keys()):
+            for w in sorted(features(words) & index.keys()):
                 sent.append(n)
                 feat.append(index[w])
             n += 1
@@ -140,9 +146,10 @@ def fit(df: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS)
     spark = df.sparkSession
     ids = spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in picked], "doc_id bigint, toxic int")
     # At most 2 * rows_per_class ids: a bound that the caller sets.
-    rows = df.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    return train([r["text"] for r in rows], [r["toxic"] for r in rows])
+    sample = written(df.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").repartition(8), "toxic-sample")
+    names = selected(sample)
+    rows = sorted(sample.collect(), key=lambda r: (r["doc_id"], r["text"] or ""))
+    return train([r["text"] for r in rows], [r["toxic"] for r in rows], names)
 
 
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:

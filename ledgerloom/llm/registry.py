@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import best_fit, cross_parse, fair_mix, kn_quality, line_rules, secret_links, simhash_ring, toxic_mil
+from . import best_fit, cross_parse, fair_mix, kn_quality, line_rules, phrase_automata, secret_links, simhash_ring, toxic_mil
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_simhash_ring": simhash_ring.query,
         "op6_kn_quality": kn_quality.query,
         "op7_secret_links": secret_links.query,
+        "op8_phrase_automata": phrase_automata.query,
         "op9_best_fit": best_fit.query,
         "op10_fair_mix": fair_mix.query,
     }
@@ -23,5 +24,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_line_rules": line_rules.ORACLE_SQL,
         "op6_kn_quality": kn_quality.query,
         "op7_secret_links": secret_links.ORACLE_SQL,
+        "op8_phrase_automata": phrase_automata.ORACLE_SQL,
         "op10_fair_mix": fair_mix.ORACLE_SQL,
     }

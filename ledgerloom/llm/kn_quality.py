@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, written
+from .common import documents, release, written
 
 ORDER = 4
 CLASSES = 64
@@ -200,7 +200,9 @@ def quantiles(scores: DataFrame) -> dict:
 def classify(df: DataFrame, trusted_ids: DataFrame, spread: float = SPREAD) -> DataFrame:
     """``df`` (doc_id, text, lang, ...) with a struct column ``quality``: bits, chars, judged, threshold, kept."""
     trusted = trusted_ids.select("doc_id").where("doc_id IS NOT NULL")
-    counts = written(count_grams(df.select("doc_id", "text").join(trusted, "doc_id", "left_semi")), "kn-counts")
+    # The ids grow with the input, so they are never broadcast; trusted text is dealt by doc_id, once.
+    counts = written(count_grams(df.select("doc_id", "text").join(trusted.hint("merge"), "doc_id", "left_semi")), "kn-counts")
+    release(df.sparkSession)
     scored = with_bits(df, bits_array(smoothed(counts)))
     fences = quantiles(scored.select("doc_id", "lang", "lm.bits", "lm.chars").where("chars > 0").join(trusted, "doc_id", "left_semi"))
     median, high = fences.get("", (0.0, 1e9))

@@ -1,4 +1,69 @@
-STAGES = []
+"""A training corpus from ``documents``: quality, near-duplicates, secrets, source mix, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
+of ``documents``.  The mix repeats a document's row as often as it holds it.  Rows with a null doc_id are never dropped
+as near-duplicates, since no row can stand for them by name.  Empty input gives empty output in every stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from ledgerloom.llm import best_fit, fair_mix, kn_quality, secret_links, simhash_ring
+from ledgerloom.llm.common import documents, written
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity passes their language's fence."""
+    return kn_quality.classify(docs, kn_quality.trusted_ids(spark, sf_dir)).where("quality.kept").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest doc_id of each near-duplicate group; of rows that share that doc_id, one."""
+    gone = simhash_ring.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    left = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    once = left.withColumn("__n", F.row_number().over(W.partitionBy("doc_id").orderBy("n_chars", "text")))
+    return once.where("__n = 1 OR doc_id IS NULL").select(docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their secrets replaced; n_chars follows the text."""
+    return secret_links.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the weighted mix of sources holds it."""
+    keyed = docs.withColumn("__h", F.xxhash64("text", "source"))
+    taken = fair_mix.fair_mix(keyed, fair_mix.SIZE, keep=("__h",)).groupBy("doc_id", F.col("row.__h").alias("__h2"))
+    taken = taken.agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows")).where("__copies > 0").withColumnRenamed("doc_id", "__d")
+    joined = keyed.join(taken.hint("merge"), keyed["doc_id"].eqNullSafe(taken["__d"]) & (keyed["__h"] == taken["__h2"]))
+    # Rows that are equal in doc_id, text and source share their copies.
+    joined = joined.withColumn("__n", F.row_number().over(W.partitionBy("doc_id", "__h").orderBy("lang", "n_chars")))
+    times = F.expr("cast(__copies div __rows + CASE WHEN __n <= __copies % __rows THEN 1 ELSE 0 END as int)")
+    return joined.withColumn("__times", times).where("__times > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in the packed sequences."""
+    return best_fit.best_fit(docs, fair_mix.SIZE)
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("secrets", secrets),
+    ("mix", mix),
+    ("packing", packing),
+]
+
+#: SQL expresses neither the smoothed n-gram model nor the fingerprints; tests/llm holds a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import best_fit, cross_parse, fair_mix, kn_quality, line_rules, phrase_automata, secret_links, simhash_ring, toxic_mil
+from . import best_fit, cross_parse, fair_mix, image_copies, kn_quality, line_rules, phrase_automata, secret_links, simhash_ring, toxic_mil
 
 
 def queries() -> dict:
     return {
+        "op1_image_copies": image_copies.query,
         "op2_line_rules": line_rules.query,
         "op3_cross_parse": cross_parse.query,
         "op4_toxic_mil": toxic_mil.query,

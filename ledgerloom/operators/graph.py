@@ -78,7 +78,7 @@ def reachable(nodes: DataFrame, edges: DataFrame, starts: DataFrame) -> DataFram
                 if not seen[w]:
                     seen[w] = True
                     todo.append(w)
-        return pd.DataFrame({"id": [x for x, s in zip(ids, seen) if s]})
+        return pd.DataFrame({"id": pd.Series([x for x, s in zip(ids, seen) if s], dtype=object)})
 
     return _grouped(marked, edges, solve, "id string", lambda n, e: _frontier(e, n.where("mark").select("id")))
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from ledgerloom.plans import fact_queries, kernel_queries
+
+_PARTS = (kernel_queries, fact_queries)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for part in _PARTS for k, v in part.Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for part in _PARTS for k, v in part.SQL.items()}

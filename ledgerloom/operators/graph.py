@@ -142,13 +142,18 @@ def _grouped(nodes: DataFrame, edges: DataFrame, solve, schema: str, large) -> D
         src, dst = (np.array([place[x] for x in lines[c]], np.int64) for c in ("src", "dst"))
         return solve(points.id.tolist(), src, dst, lines, *([points.mark.to_numpy(bool)] if marks else []))
 
-    if big.isEmpty():
+    if large is None or big.isEmpty():
         return rows.groupBy("component").applyInPandas(one, schema)
     few = rows.join(big, "component", "left_anti").groupBy("component").applyInPandas(one, schema)
     giant = comp.join(big, "component").select("id")
     return few.unionByName(large(nodes.join(giant, "id", "left_semi"), edges.join(giant.withColumnRenamed("id", "src"), "src", "left_semi")))
 
 
+def grouped_whole(nodes: DataFrame, edges: DataFrame, solve, schema: str) -> DataFrame:
+    """``solve`` per weak component of any size, for what has no distributed form."""
+    return _grouped(nodes, edges, solve, schema, None)
+
+
 def _out_lists(n: int, src: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges by source: positions into `order` per node."""
     order = np.argsort(src, kind="stable")

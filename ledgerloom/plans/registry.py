@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import document_queries, fact_queries, kernel_queries
+from ledgerloom.plans import closure_queries, document_queries, fact_queries, kernel_queries
 
-_PARTS = (kernel_queries, fact_queries, document_queries)
+_PARTS = (kernel_queries, fact_queries, document_queries, closure_queries)
 
 
 def queries() -> dict:

@@ -86,10 +86,15 @@ def _resized(image: np.ndarray, scale: float) -> np.ndarray:
 
 
 def _peaks(a: np.ndarray, radius: int) -> np.ndarray:
-    """The greatest value within ``radius`` rows and columns of each place."""
+    """The greatest value within ``radius`` rows and columns of each place: running maxima by doubling."""
     for axis in (0, 1):
-        p = np.pad(a, [(radius, radius) if k == axis else (0, 0) for k in (0, 1)], constant_values=-1.0)
-        a = np.lib.stride_tricks.sliding_window_view(p, 2 * radius + 1, axis=axis).max(axis=-1)
+        a = np.swapaxes(a, 0, axis)
+        width, span = 2 * radius + 1, 1
+        p = np.pad(a, ((radius, radius), (0, 0)), constant_values=-1.0)
+        while span * 2 <= width:
+            p = np.maximum(p[:-span], p[span:])
+            span *= 2
+        a = np.swapaxes(np.maximum(p[: len(a)], p[width - span : width - span + len(a)]), 0, axis)
     return a
 
 
@@ -135,32 +140,34 @@ def corner_column(images: pd.Series) -> pd.Series:
 
 
 def triangles(points: list[dict]) -> list[int]:
-    """Consensus keys of one image's corners (word, level, x, y, angle): words and shape of triangles of near corners."""
-    import xxhash
-
-    keys = set()
-    for level in {p["level"] for p in points}:
-        some = [p for p in points if p["level"] == level]
+    """Consensus keys of one image's corners (level, x, y, angle, word): words and shape of triangles of near corners."""
+    table = np.array([(p["level"], p["x"], p["y"], p["angle"], p["word"]) for p in points], np.int64).reshape(-1, 5)
+    keys = []
+    for level in range(len(SCALES)):
+        some = table[table[:, 0] == level]
         if len(some) < 3:
             continue
-        xy = np.array([(p["x"] / 4, p["y"] / 4) for p in some])
-        turn = [p["angle"] / 1000 for p in some]
-        word = [p["word"] for p in some]
+        xy, turn, word = some[:, 1:3] / 4, some[:, 3] / 1000, some[:, 4]
         apart = np.hypot(*(xy[:, None] - xy[None]).transpose(2, 0, 1))
         apart[apart < MIN_SIDE] = np.inf
         near = np.argsort(apart, axis=1, kind="stable")[:, :2]
-        for i, (j, k) in enumerate(near.tolist()):
-            corner = sorted((i, j, k), key=lambda q: word[q])
-            if not np.isfinite(apart[[i, i, j], [j, k, k]]).all() or len({word[q] for q in corner}) < 3:
-                continue
-            shape = []
-            for p, q, r in ((0, 1, 2), (1, 2, 0), (2, 0, 1)):
-                u, v = xy[corner[q]] - xy[corner[p]], xy[corner[r]] - xy[corner[p]]
-                inner = np.arctan2(u[0] * v[1] - u[1] * v[0], u @ v)
-                against = turn[corner[p]] - np.arctan2(u[1], u[0])
-                shape += [int(np.rint(x / (2 * np.pi) * SHAPE_BINS)) % SHAPE_BINS for x in (inner, against)]
-            keys.add(xxhash.xxh64_intdigest(repr(([word[q] for q in corner], shape)).encode()))
-    return [k - (1 << 64) if k >> 63 else k for k in sorted(keys)]
+        corner = np.column_stack([np.arange(len(some)), near])
+        fit = np.isfinite(apart[corner[:, [0, 0, 1]], corner[:, [1, 2, 2]]]).all(axis=1)
+        corner = np.take_along_axis(corner, np.argsort(word[corner], axis=1, kind="stable"), axis=1)[fit]
+        w = word[corner]
+        corner = corner[(w[:, 0] != w[:, 1]) & (w[:, 1] != w[:, 2])]
+        h = np.zeros(len(corner), np.uint64)
+        for p in range(3):
+            a, b, c = (corner[:, (p + k) % 3] for k in range(3))
+            u, v = xy[b] - xy[a], xy[c] - xy[a]
+            inner = np.arctan2(u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0], (u * v).sum(axis=1))
+            against = turn[a] - np.arctan2(u[:, 1], u[:, 0])
+            shape = [np.rint(x / (2 * np.pi) * SHAPE_BINS).astype(np.int64) % SHAPE_BINS for x in (inner, against)]
+            for x in (word[a], *shape):
+                h = (h ^ x.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(31)
+        keys.append(h.view(np.int64))
+    return np.unique(np.concatenate(keys)).tolist() if keys else []
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -234,7 +241,7 @@ def image_copies(df: DataFrame, image: str = "image") -> DataFrame:
     return out.select("image_id", "n_corners", F.coalesce("root", "image_id").alias("class_id"), F.coalesce("n_keys", F.lit(0).cast("long")).alias("n_keys"))
 
 
-CELL, COLUMNS = 4, 24
+CELL, COLUMNS = 3, 24
 
 
 @F.pandas_udf(T.BinaryType())
@@ -248,7 +255,7 @@ def page_image(texts: pd.Series) -> pd.Series:
         if not words:
             out.append(None)
             continue
-        cells = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w) for w in words), np.uint8).reshape(-1, CELL, CELL)
+        cells = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w)[: CELL * CELL] for w in words), np.uint8).reshape(-1, CELL, CELL)
         rows = -(-len(words) // COLUMNS)
         sheet = np.zeros((rows * COLUMNS, CELL, CELL), np.uint8)
         sheet[: len(cells)] = cells

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Blanks that part words; a word is a run of other characters.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -22,6 +25,22 @@ def words_sql(text: str) -> str:
     return f"filter(split({text}, {sql_regex(BLANKS)}), x -> x <> '')"
 
 
+def text_udf(kind, values, rows: int = 128):
+    """An Arrow UDF of type ``kind`` over a text column.
+
+    ``values(texts)`` gives a list for a list of texts.  It sees ``rows`` texts at a time, so that a worker never holds a
+    whole batch as Python strings.
+    """
+    target = to_arrow_type(kind)
+
+    @F.arrow_udf(kind)
+    def run(texts: pa.Array) -> pa.Array:
+        parts = [pa.array(values(texts.slice(i, rows).to_pylist()), type=target) for i in range(0, len(texts), rows)]
+        return pa.concat_arrays(parts) if parts else pa.array([], type=target)
+
+    return run
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -18,12 +18,11 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents
+from .common import documents, text_udf
 
 SAMPLE_CHARS = 30_000
 ROWS_PER_LANGUAGE = 200
@@ -187,16 +186,10 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(model)
     kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
-    @F.pandas_udf(kind)
-    def parsed(texts: pd.Series) -> pd.DataFrame:
-        lang, score = [], []
-        for at in range(0, len(texts), 500):
-            a, b = shared.value.predict([x if isinstance(x, str) else None for x in texts.iloc[at : at + 500]])
-            lang += a
-            score += b
-        return pd.DataFrame({"lang_pred": lang, "score": score})
+    def parsed(texts):
+        return [{"lang_pred": a, "score": b} for a, b in zip(*shared.value.predict(texts))]
 
-    return df.select("*", parsed(F.col(text)).alias("language"))
+    return df.select("*", text_udf(kind, parsed, 512)(F.col(text)).alias("language"))
 
 
 def query(spark, sf_dir):

@@ -23,20 +23,19 @@ import re
 import unicodedata
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, release, written
+from .common import documents, release, text_udf, written
 
 ORDER = 4
 CLASSES = 64
 SPREAD = 3.0
 MEDIAN, HIGH = 0.5, 0.95
 PRIOR = 100
-_CHUNK = 1 << 20
+_ROWS = 128
 _BLANK = re.compile(r"\s+")
 
 #: Characters with a class of their own, after the blank (0); others fall into the kinds below.
@@ -83,26 +82,14 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out[keep], sizes
 
 
-def _batches(texts):
-    """Lists of texts of about _CHUNK characters, whole texts each."""
-    held, n = [], 0
-    for t in texts:
-        held.append(t)
-        n += len(t) if t else 0
-        if n >= _CHUNK:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
-
-
 def _count(batches):
     total = None
     for batch in batches:
-        for texts in _batches(batch.column(0).to_pylist()):
+        texts = batch.column(0)
+        for i in range(0, len(texts), _ROWS):
             if total is None:
                 total = np.zeros(CLASSES**ORDER, np.int32)
-            g, n = np.unique(grams(texts)[0], return_counts=True)
+            g, n = np.unique(grams(texts.slice(i, _ROWS).to_pylist())[0], return_counts=True)
             total[g] += n.astype(np.int32)
     if total is not None:
         g = np.flatnonzero(total)
@@ -150,20 +137,28 @@ def smoothed(counts: DataFrame) -> tuple[DataFrame, ...]:
 def bits_array(orders: tuple[DataFrame, ...]) -> np.ndarray:
     """Bits of every possible n-gram, 64 ** ORDER half floats: the smoothed tables laid out densely.
 
-    Each table has at most 64 ** order rows by construction; they come in batches of Arrow.
+    Each table has at most 64 ** order rows by construction.  The array is filled a first character at a time, so the
+    driver holds little besides it.
     """
-    p = np.full(1, 1 / CLASSES, np.float32)
+    def bits(p: np.ndarray) -> np.ndarray:
+        return -np.log2(np.maximum(p, 1e-12)).astype(np.float16)
+
+    p, out = np.full(1, 1 / CLASSES, np.float32), np.empty(CLASSES**ORDER, np.float16)
     for k, table in enumerate(orders, 1):
-        back, rows = np.ones(CLASSES ** (k - 1), np.float32), []
-        for batch in table.select("g", "h", F.col("p").cast("float"), F.col("back").cast("float")).toArrow().to_batches():
-            g, h, q, b = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            back[h] = b
-            rows.append((g, q))
-        # An unseen n-gram falls back to its suffix; the suffix of (context, c) drops the context's first character.
-        p = (back[:, None] * (np.resize(p, CLASSES**k).reshape(-1, CLASSES) if k > 1 else p)).reshape(-1) if k > 1 else np.full(CLASSES, back[0] * p[0], np.float32)
-        for g, q in rows:
+        rows = table.select("g", "h", F.col("p").cast("float"), F.col("back").cast("float")).toArrow()
+        g, h, q, b = (rows.column(c).to_numpy() for c in range(4))
+        back = np.ones(CLASSES ** (k - 1), np.float32)
+        back[h] = b
+        # An unseen n-gram falls back to its suffix, which drops the first character: the suffixes repeat in order.
+        below = p.reshape(-1, CLASSES) if k > 1 else np.full((1, CLASSES), p[0], np.float32)
+        if k < ORDER:
+            p = (back.reshape(-1, len(below), 1) * below).reshape(-1)
             p[g] = q
-    return -np.log2(np.maximum(p, 1e-12)).astype(np.float16)
+        else:
+            for c, part in enumerate(back.reshape(-1, len(below), 1)):
+                out[c * below.size : (c + 1) * below.size] = bits(part * below).reshape(-1)
+            out[g] = bits(q)
+    return out
 
 
 def with_bits(df: DataFrame, bits: np.ndarray, text: str = "text") -> DataFrame:
@@ -171,18 +166,14 @@ def with_bits(df: DataFrame, bits: np.ndarray, text: str = "text") -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(bits)
     kind = T.StructType([T.StructField("bits", T.DoubleType()), T.StructField("chars", T.LongType())])
 
-    @F.pandas_udf(kind)
-    def scored(texts: pd.Series) -> pd.DataFrame:
-        per, sizes = [], []
-        for part in _batches(x if isinstance(x, str) else None for x in texts):
-            g, n = grams(part)
-            total = np.concatenate([[0.0], np.cumsum(shared.value[g], dtype=np.float64)])
-            ends = np.cumsum(n)
-            per.append((total[ends] - total[ends - n]) / np.maximum(n, 1))
-            sizes.append(n)
-        return pd.DataFrame({"bits": np.concatenate(per) if per else [], "chars": np.concatenate(sizes) if sizes else []})
-
-    return df.withColumn("lm", scored(F.col(text)))
+    def scored(texts):
+        g, n = grams(texts)
+        total = np.concatenate([[0.0], np.cumsum(shared.value[g], dtype=np.float64)])
+        ends = np.cumsum(n)
+        per = (total[ends] - total[ends - n]) / np.maximum(n, 1)
+        return [{"bits": b, "chars": c} for b, c in zip(per.tolist(), n.tolist())]
+
+    return df.withColumn("lm", text_udf(kind, scored)(F.col(text)))
 
 
 def quantiles(scores: DataFrame) -> dict:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, written
+from .common import documents, text_udf, written
 from .components import components
 
 MAX_BITS = 3
@@ -54,9 +54,11 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits((2 * bits > n).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
-@F.pandas_udf(T.LongType())
-def _fingerprints(texts: pd.Series) -> pd.Series:
-    return pd.Series(np.array([fingerprint(x) for x in texts], dtype=np.uint64).view(np.int64))
+def _signed_fingerprints(texts: list[str | None]) -> list[int]:
+    return np.array([fingerprint(x) for x in texts], dtype=np.uint64).view(np.int64).tolist()
+
+
+_fingerprints = text_udf(T.LongType(), _signed_fingerprints)
 
 
 def fingerprint_column(text):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, written
+from .common import documents, text_udf, written
 
 ROWS_PER_CLASS = 2000
 MIN_ROWS = 4  # a word is a feature if so many sampled documents have it ...
@@ -158,12 +158,11 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("probability", T.DoubleType())])
     kind = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("offending", T.ArrayType(span))])
 
-    @F.pandas_udf(kind)
-    def scored(texts: pd.Series) -> pd.DataFrame:
-        out = [shared.value.score(x if isinstance(x, str) else None) for x in texts]
-        return pd.DataFrame({"score": [a for a, _ in out], "offending": [[{"start": s, "end": e, "probability": p} for s, e, p in b] for _, b in out]})
+    def scored(texts):
+        found = [shared.value.score(x) for x in texts]
+        return [{"score": a, "offending": [dict(zip(span.names, x)) for x in b]} for a, b in found]
 
-    return df.select("*", scored(F.col(text)).alias("toxicity"))
+    return df.select("*", text_udf(kind, scored)(F.col(text)).alias("toxicity"))
 
 
 def query(spark, sf_dir):

@@ -35,6 +35,7 @@ from .common import documents, forget, release, written
 WINDOW = 35
 ANCHOR = 8
 HOT_STRETCHES = 5000
+HOT_BROADCAST = 10_000  # hot anchors; more of them are joined by a shuffle
 AUTOMATON_CHARS = 1 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -202,10 +203,12 @@ def repeated_ranges(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -
     spark = df.sparkSession
     docs = df.select(*_identity(df), "text")
     occ = written(docs.mapInPandas(_occurrences(window, anchor), "a bigint, doc_id bigint, th int, first int, n int"), "anchors")
-    twice = occ.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c >= 2").select("a")
+    # Written, so that adaptive execution can split the join where an anchor has very many occurrences.
+    twice = written(occ.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c >= 2").select("a"), "recurring")
     found = occ.join(twice, "a", "left_semi").groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "first", "n")).alias("spots"))
     found = written(found.select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), "spots"), "anchor-spots")
     forget(occ)
+    forget(twice)
     release(spark)
     texts = docs.join(found, (docs.doc_id == found.d2) & (docs.th == found.t2)).select("doc_id", "th", "text", "spots")
     cut = texts.mapInPandas(_stretches(window), "a bigint, stretch binary, doc_id bigint, th int, first int").withColumn("sh", F.xxhash64("stretch"))
@@ -213,17 +216,22 @@ def repeated_ranges(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -
     forget(found)
     release(spark)
     distinct = written(cut.groupBy("a", "sh", "stretch").agg(F.count(F.lit(1)).alias("n")), "distinct-stretches")
-    many = distinct.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT_STRETCHES).select("a", F.expr(f"cast(ceil(c / {HOT_STRETCHES}) as int)").alias("salts"))
+    slim = written(cut.select("a", "sh", "doc_id", "th", "first"), "places")
+    forget(cut)
+    release(spark)
+    many = written(distinct.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT_STRETCHES).select("a", F.expr(f"cast(ceil(c / {HOT_STRETCHES}) as int)").alias("salts")), "hot-anchors")
+    few = F.broadcast(many) if many.count() <= HOT_BROADCAST else many.hint("merge")
     columns = ["a", "sh", "stretch", "n", "salt", "salts"]
-    cold = distinct.join(many, "a", "left_anti").selectExpr("*", "0 AS salt", "1 AS salts").select(columns).repartition("a", "salt")
-    hot = distinct.join(many, "a").withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).select(columns).repartition("a", "salt")
+    cold = distinct.join(few, "a", "left_anti").selectExpr("*", "0 AS salt", "1 AS salts").select(columns)
+    hot = distinct.join(few, "a").withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).select(columns)
     place = lambda rows: rows.sortWithinPartitions("a", "salt").mapInPandas(_located(window), "a bigint, sh bigint, ranges array<int>")
-    covers = written(place(cold).unionAll(place(hot)), "covers")
+    covers = written(place(cold.unionAll(hot).repartition("a", "salt")), "covers")
+    forget(distinct)
     release(spark)
-    where = cut.select("a", "sh", "doc_id", "th", "first").join(covers, ["a", "sh"])
+    where = slim.join(covers, ["a", "sh"])
     ranges = where.groupBy("doc_id", "th").agg(F.flatten(F.collect_set(F.expr("transform(ranges, x -> x + first)"))).alias("ranges"))
     out = written(ranges, "ranges")
-    for table in (cut, distinct, covers):
+    for table in (slim, many, covers):
         forget(table)
     release(spark)
     return out

@@ -9,7 +9,7 @@ per character.  That table has at most 64 ** 4 entries whatever the input, a pro
 broadcast of an array indexed by n-gram.  What is gathered from the corpus, the counts, grows with the trusted text.
 
 Thresholds: in each language, from the trusted documents' bits per character, median + ``SPREAD`` * (95 % quantile -
-median), from exact quantiles of bits rounded to a thousandth.  A document of n characters is judged by
+median), at least ``MARGIN`` above the median, from exact quantiles of bits rounded to a thousandth.  A document of n characters is judged by
 (n * bits + PRIOR * median) / (n + PRIOR), so that short texts are not rejected by chance.
 
 Defined results: null and empty texts have 0 characters and the median of their language (kept); null lang is a language
@@ -33,6 +33,7 @@ from .common import documents, release, text_udf, written
 ORDER = 4
 CLASSES = 64
 SPREAD = 3.0
+MARGIN = 0.3  # bits a character
 MEDIAN, HIGH = 0.5, 0.95
 PRIOR = 100
 _ROWS = 128
@@ -198,11 +199,11 @@ def classify(df: DataFrame, trusted_ids: DataFrame, spread: float = SPREAD) -> D
     fences = quantiles(scored.select("doc_id", "lang", "lm.bits", "lm.chars").where("chars > 0").join(trusted, "doc_id", "left_semi"))
     median, high = fences.get("", (0.0, 1e9))
     key = F.concat(F.lit("="), F.coalesce("lang", F.lit("\x00null")))
-    middle, limit = F.lit(float(median)), F.lit(float(median + spread * (high - median)))
+    middle, limit = F.lit(float(median)), F.lit(float(median + max(MARGIN, spread * (high - median))))
     for k, (m, h) in fences.items():
         if k:
             middle = F.when(key == k, F.lit(float(m))).otherwise(middle)
-            limit = F.when(key == k, F.lit(float(m + spread * (h - m)))).otherwise(limit)
+            limit = F.when(key == k, F.lit(float(m + max(MARGIN, spread * (h - m))))).otherwise(limit)
     judged = (F.col("lm.bits") * F.col("lm.chars") + middle * PRIOR) / (F.col("lm.chars") + PRIOR)
     return scored.withColumn("quality", F.struct("lm.bits", "lm.chars", judged.alias("judged"), limit.alias("threshold"), (judged <= limit).alias("kept"))).drop("lm")
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import best_fit, cross_parse, fair_mix, image_copies, kn_quality, line_rules, phrase_automata, secret_links, simhash_ring, toxic_mil
+from . import (
+    best_fit, cross_parse, fair_mix, image_copies, kn_quality, line_rules, phrase_automata, secret_links, simhash_ring,
+    toxic_mil,
+)
 
 
 def queries() -> dict:
@@ -23,7 +26,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_rules": line_rules.ORACLE_SQL,
-        "op6_kn_quality": kn_quality.query,
         "op7_secret_links": secret_links.ORACLE_SQL,
         "op8_phrase_automata": phrase_automata.ORACLE_SQL,
         "op10_fair_mix": fair_mix.ORACLE_SQL,

@@ -21,6 +21,10 @@ from ledgerloom.functions.stages import staged
 from ledgerloom.operators.findings import every, rule
 
 COMPONENT_ROWS = 2_000_000
+#: A graph of so many nodes and edges is one group outright: finding its components would take longer than solving it.
+WHOLE_ROWS = 200_000
+#: Rounds of joins that a reachability may take before components are looked for.
+FIRST_ROUNDS = 5
 
 
 class NotADag(ValueError):
@@ -61,11 +65,16 @@ def adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def reachable(nodes: DataFrame, edges: DataFrame, starts: DataFrame) -> DataFrame:
     """``id`` of every node that a start (id) leads to, starts included; unknown starts are an error.
 
-    Components run whole where they fit; giant ones in rounds of joins, in which only the frontier moves.
+    A few rounds of joins, in which only the frontier moves, settle shallow graphs; in deeper ones components run whole
+    where they fit, and giant ones in further rounds.
     """
     lost = starts.join(nodes, "id", "left_anti").select("id").limit(1).collect()
     if lost:
         raise ValueError(f"unknown-start-node: {lost[0][0]}")
+    near, done = _frontier(edges, starts.select("id").distinct(), FIRST_ROUNDS)
+    if done:
+        return near
+    starts = near
     marked = nodes.join(starts.select("id").distinct().withColumn("mark", F.lit(True)), "id", "left")
 
     def solve(ids, src, dst, _, mark):
@@ -80,18 +89,22 @@ def reachable(nodes: DataFrame, edges: DataFrame, starts: DataFrame) -> DataFram
                     todo.append(w)
         return pd.DataFrame({"id": pd.Series([x for x, s in zip(ids, seen) if s], dtype=object)})
 
-    return _grouped(marked, edges, solve, "id string", lambda n, e: _frontier(e, n.where("mark").select("id")))
+    return _grouped(marked, edges, solve, "id string", lambda n, e: _frontier(e, n.where("mark").select("id"))[0])
 
 
-def _frontier(edges: DataFrame, starts: DataFrame) -> DataFrame:
+def _frontier(edges: DataFrame, starts: DataFrame, rounds: int | None = None) -> tuple[DataFrame, bool]:
+    """(what was reached, whether that is all) after so many rounds of joins."""
     steps = edges.select("src", "dst").distinct()
     seen = frontier = staged(starts, "reach")
-    while True:
+    k = 0
+    while rounds is None or k < rounds:
+        k += 1
         ahead = frontier.join(steps, frontier.id == steps.src).select(F.col("dst").alias("id")).distinct()
         frontier = staged(ahead.join(seen, "id", "left_anti"), "reach")
         if frontier.isEmpty():
-            return seen
+            return seen, True
         seen = seen.unionAll(frontier)
+    return seen, False
 
 
 # ---- weak components --------------------------------------------------------------------------------------------
@@ -126,7 +139,11 @@ def _grouped(nodes: DataFrame, edges: DataFrame, solve, schema: str, large) -> D
     Where nodes have a boolean column ``mark``, solve gets it as a fifth argument.
     ``large``: what to run for components over COMPONENT_ROWS, as solve(nodes, edges) -> DataFrame of the same schema.
     """
-    comp = staged(weak_components(nodes, edges), "component")
+    nodes, edges = staged(nodes, "nodes"), staged(edges, "edges")
+    if nodes.count() + edges.count() <= min(WHOLE_ROWS, COMPONENT_ROWS):
+        comp = nodes.select("id", F.lit("").alias("component"))
+    else:
+        comp = staged(weak_components(nodes, edges), "component")
     owner = comp.select(F.col("id").alias("src"), "component")
     marks = "mark" in nodes.columns
     mark = F.coalesce("mark", F.lit(False)) if marks else F.lit(False)
@@ -218,7 +235,7 @@ def _coloured(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                 break
         inside = alive.join(colour.select(F.col("id").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst").where("cs = cd")
         roots = colour.where("c.id = id").select("id")
-        mine = _frontier(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), roots)
+        mine = _frontier(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), roots)[0]
         found = colour.join(mine, "id", "left_semi").select("id", F.col("c.id").alias("component"))
         out = found if out is None else out.unionAll(found)
         left = staged(left.join(found, "id", "left_anti"), "scc")
@@ -377,9 +394,10 @@ def critical_path(nodes: DataFrame, edges: DataFrame, paths: DataFrame) -> list[
     if end is None:
         return []
     back = paths.join(edges.select(F.col("id").alias("via_edge"), "src"), "via_edge").select("id", "src")
-    comp = weak_components(nodes, edges)
-    mine = comp.join(comp.where(F.col("id") == end).select("component"), "component").select("id")
-    before = dict(back.join(mine, "id", "left_semi").collect())
+    if nodes.count() > WHOLE_ROWS:  # only the path's own component comes to the driver
+        comp = weak_components(nodes, edges)
+        back = back.join(comp.join(comp.where(F.col("id") == end).select("component"), "component").select("id"), "id", "left_semi")
+    before = dict(back.collect())
     walk = [end]
     while walk[-1] in before:
         walk.append(before[walk[-1]])

@@ -105,12 +105,24 @@ def x13(spark, d):
     return X.resolved_relations(sources(spark, d))[0].select("relation_id", "from_artifact_id", "target_artifact_id")
 
 
-@query("X16_entry_digests")
+_CONTENT = """'<!-- docs:section id="s-' || source || '" -->' || chr(10) || '# Doc *' || doc_id || '* of `' || source || '`' || chr(10) || chr(10) || '~~~~' || chr(10) || text || chr(10) || '~~~~' || chr(10) || chr(10)
+    || 'Details' || chr(10) || '---' || chr(10) || chr(10) || '## Details' || chr(10) || chr(10) || CASE doc_id % 5 WHEN 0 THEN '<!-- docs:section id="s-' || source || '" -->' || chr(10) || '## Again' || chr(10)
+    WHEN 1 THEN '<!-- docs:section id="lost" -->' || chr(10) || chr(10) || 'Text.' || chr(10) ELSE '* one' || chr(10) || '* two' || chr(10) || chr(10) || '> quoted' || chr(10) END"""
+_HEAD = """'{{"anchor":"{0}","depth":{1},"headingId":"DOC-' || doc_id || '#h{2}","text":"{3}"}}'"""
+_ENTRY = f"""WITH c AS (SELECT *, CASE WHEN doc_id % 31 = 4 THEN 'sha256:old' ELSE 'sha256:' || sha256({_CONTENT}) END AS cd,
+  {_HEAD.format("doc-' || doc_id || '-of-' || source || '", 1, 1, "Doc ' || doc_id || ' of ' || source || '")} || ',' || {_HEAD.format("details", 2, 2, "Details")} || ',' || {_HEAD.format("details-2", 2, 3, "Details")}
+  || CASE WHEN doc_id % 5 = 0 THEN ',' || {_HEAD.format("again", 2, 4, "Again")} ELSE '' END AS heads,
+  '"' || array_to_string(list_sort(CASE WHEN doc_id % 41 = 2 THEN [lang, lang] ELSE [source, lang] END), '","') || '"' AS tags FROM documents),
+x AS (SELECT 'DOC-' || doc_id AS artifact_id, 'sha256:' || sha256('{{"artifactId":"DOC-' || doc_id || '","contentDigest":"' || cd || '","headings":[' || heads || '],"kind":"' || lang || '","owner":"' || source
+  || '","path":"' || lang || '/' || doc_id || '.md","sections":["s-' || source || '"],"status":"active","tags":[' || tags || ']}}') AS entry_digest, doc_id, source FROM c)"""
+
+
+@query("X16_entry_digests", f"{_ENTRY} SELECT artifact_id, entry_digest, CASE WHEN doc_id % 5 = 0 THEN 4 ELSE 3 END AS n_headings, 's-' || source AS sections FROM x")
 def x16(spark, d):
     return X.index_entries(sources(spark, d), NAMESPACE).select("artifact_id", "entry_digest", F.size("headings").alias("n_headings"), F.array_join("sections", ",").alias("sections"))
 
 
-@query("X16_index_digest")
+@query("X16_index_digest", f"{_ENTRY} SELECT 'sha256:' || sha256('{{\"entries\":[' || string_agg('\"' || entry_digest || '\"', ',' ORDER BY artifact_id) || ']}}') AS index_digest FROM x")
 def x16b(spark, d):
     return X.index_digest(X.index_entries(sources(spark, d), NAMESPACE))
 

@@ -115,7 +115,9 @@ def g11(spark, d):
     return G.longest_paths(nodes, edges.withColumn("weight", heavy)).select("id", "overflow")
 
 
-@query("G12_critical_path")
+@query("G12_critical_path", f"""{_LONG}, o AS (SELECT e.t, e.s, row_number() OVER (PARTITION BY e.t ORDER BY b.v + e.w DESC, e.id) AS k FROM e JOIN best b ON b.n = e.s),
+w(n, back) AS (SELECT (SELECT n FROM best ORDER BY v DESC, n LIMIT 1), 0 UNION ALL SELECT o.s, back + 1 FROM w JOIN o ON o.t = w.n AND o.k = 1)
+SELECT CAST(max(back) OVER () - back AS BIGINT) AS pos, 'P' || n AS id FROM w""")
 def g12(spark, d):
     nodes, edges = A.part_graph(spark, d)
     path = G.critical_path(nodes, edges, G.longest_paths(nodes, edges))

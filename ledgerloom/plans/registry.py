@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import closure_queries, document_queries, fact_queries, kernel_queries
+from ledgerloom.plans import closure_queries, document_queries, fact_queries, kernel_queries, source_queries
 
-_PARTS = (kernel_queries, fact_queries, document_queries, closure_queries)
+_PARTS = (kernel_queries, fact_queries, document_queries, closure_queries, source_queries)
 
 
 def queries() -> dict:

@@ -99,9 +99,9 @@ for _name, (_code, _sql) in _RULES.items():
 
 
 @query("K26_closure_members", f"""{_BASE}, kept AS (SELECT * FROM r WHERE c = 'C' || k AND status <> 'superseded')
-SELECT 'C' || s.k AS component_id, 'D' || s.k AS design_id, CASE WHEN kept.k IS NULL THEN NULL WHEN s.k % 43 = 7 THEN 0 ELSE 1 END AS revision, kept.status, CASE WHEN kept.k IS NOT NULL THEN 'DOC-' || s.k END AS document_id,
-  CASE WHEN kept.k IS NOT NULL THEN 1 END AS n_local, CASE WHEN kept.k IS NOT NULL THEN CASE WHEN odd THEN 0 ELSE 1 END END AS n_inherited, CASE WHEN kept.k IS NOT NULL THEN 1 END AS n_not_applicable,
-  CASE WHEN kept.k IS NOT NULL THEN CASE WHEN s.k % 10 = 4 THEN 0 ELSE 1 END END AS n_criteria FROM s LEFT JOIN kept ON kept.k = s.k""")
+SELECT 'C' || s.k AS component_id, 'D' || s.k AS design_id, CAST(CASE WHEN kept.k IS NULL THEN NULL WHEN s.k % 43 = 7 THEN 0 ELSE 1 END AS BIGINT) AS revision, kept.status, CASE WHEN kept.k IS NOT NULL THEN 'DOC-' || s.k END AS document_id,
+  CAST(CASE WHEN kept.k IS NOT NULL THEN 1 END AS BIGINT) AS n_local, CAST(CASE WHEN kept.k IS NOT NULL THEN CASE WHEN odd THEN 0 ELSE 1 END END AS BIGINT) AS n_inherited, CAST(CASE WHEN kept.k IS NOT NULL THEN 1 END AS BIGINT) AS n_not_applicable,
+  CAST(CASE WHEN kept.k IS NOT NULL THEN CASE WHEN s.k % 10 = 4 THEN 0 ELSE 1 END END AS BIGINT) AS n_criteria FROM s LEFT JOIN kept ON kept.k = s.k""")
 def k26(spark, d):
     return C.closure_members(facts(spark, d))
 

@@ -329,7 +329,7 @@ def r13(spark, d):
     return V.ledger_counts(base.where("pos < 3"), head)
 
 
-@query("M01_expand_macro", "SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 1)) v(check_id, check_revision)")
+@query("M01_expand_macro", "SELECT check_id, CAST(check_revision AS BIGINT) AS check_revision FROM (VALUES ('A', 1), ('B', 2), ('C', 1)) v(check_id, check_revision)")
 def m01(spark, d):
     out = V.expand_macro({"root": [("inner", 1), ("C", 1)], "inner": [("A", 1), ("B", 2)]}, "root")
     return spark.createDataFrame(out["checks"], "check_id string, check_revision bigint")

@@ -12,8 +12,10 @@ A window is ``WINDOW`` consecutive words of one text; words in a window whose se
    locates every occurrence of every passage.  Stretches at other anchors cannot hold any, so no text misses a shard.
 4. The covered word ranges return to their texts.
 
-Scale: work is linear in the text.  An anchor with more than ``HOT_STRETCHES`` different stretches is dealt by salts,
-each of which counts its own share of the windows, so no group is unbounded.  Stages are written tables.
+Scale: work is linear in the text.  An anchor with more than ``HOT_STRETCHES`` different stretches is dealt by salts of
+its windows: a stretch goes to the salts of its own windows, at most 28, and each salt counts its share of them.  There
+are so many salts that a group holds about HOT_STRETCHES / 2 stretches, however many the anchor has.  Stages are written
+tables.
 
 Defined results: null text has no words; texts under WINDOW words lose nothing; equal rows count as occurrences of each
 other; null doc_id is an identity of its own with its text.
@@ -34,7 +36,7 @@ from .common import documents, forget, release, written
 
 WINDOW = 35
 ANCHOR = 8
-HOT_STRETCHES = 5000
+HOT_STRETCHES = 1000
 HOT_BROADCAST = 10_000  # hot anchors; more of them are joined by a shuffle
 AUTOMATON_CHARS = 1 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -97,7 +99,7 @@ def _stretches(window: int):
                 for spot in spots:
                     first = spot["first"]
                     out.append((spot["a"], b" ".join(words[first : first + spot["n"] + window - 1]), doc, th, first))
-            yield pd.DataFrame(out, columns=["a", "stretch", "doc_id", "th", "first"]).astype({"doc_id": object})
+            yield pd.DataFrame(out, columns=["a", "stretch", "doc_id", "th", "first"])
 
     return of
 
@@ -157,6 +159,21 @@ def locate(stretches: list[bytes], counts: list[int], salts: list[tuple[int, int
     return out
 
 
+def _salted(window: int):
+    def of(batches):
+        """Each stretch once per salt that one of its windows has; a few hundred stretches at a time."""
+        for rows in (b.iloc[i : i + 500] for b in batches for i in range(0, len(b), 500)):
+            at, salts = [], []
+            for i, (stretch, k) in enumerate(zip(rows["stretch"], rows["salts"])):
+                words = stretch.split(b" ")
+                own = {zlib.crc32(b" " + b" ".join(words[j : j + window]) + b" ") % k for j in range(len(words) - window + 1)}
+                at += [i] * len(own)
+                salts += sorted(own)
+            yield rows.iloc[at].reset_index(drop=True).assign(salt=salts)[["a", "sh", "stretch", "n", "salt", "salts"]]
+
+    return of
+
+
 def _located(window: int):
     def of(batches):
         """Rows sorted by (a, salt); a group is handled whole, many small groups together."""
@@ -165,8 +182,10 @@ def _located(window: int):
 
         def done(rows: pd.DataFrame) -> pd.DataFrame:
             ranges = locate(rows["stretch"].tolist(), rows["n"].tolist(), list(zip(rows["salt"], rows["salts"])), window)
-            keep = [bool(r) for r in ranges]
-            return pd.DataFrame({"a": rows["a"][keep], "sh": rows["sh"][keep], "ranges": [r for r in ranges if r]})
+            keep = np.array([bool(r) for r in ranges], bool)
+            # Of type object even where no stretch is covered, as Arrow makes lists of nothing else.
+            found = pd.Series([r for r in ranges if r], dtype=object)
+            return pd.DataFrame({"a": rows["a"].to_numpy()[keep], "sh": rows["sh"].to_numpy()[keep], "ranges": found})
 
         for rows in batches:
             if not len(rows):
@@ -219,11 +238,11 @@ def repeated_ranges(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -
     slim = written(cut.select("a", "sh", "doc_id", "th", "first"), "places")
     forget(cut)
     release(spark)
-    many = written(distinct.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT_STRETCHES).select("a", F.expr(f"cast(ceil(c / {HOT_STRETCHES}) as int)").alias("salts")), "hot-anchors")
+    many = written(distinct.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT_STRETCHES).select("a", F.expr(f"cast(ceil({window - anchor + 1} * c / {HOT_STRETCHES}) as int)").alias("salts")), "hot-anchors")
     few = F.broadcast(many) if many.count() <= HOT_BROADCAST else many.hint("merge")
     columns = ["a", "sh", "stretch", "n", "salt", "salts"]
     cold = distinct.join(few, "a", "left_anti").selectExpr("*", "0 AS salt", "1 AS salts").select(columns)
-    hot = distinct.join(few, "a").withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).select(columns)
+    hot = distinct.join(few, "a").select("a", "sh", "stretch", "n", "salts").mapInPandas(_salted(window), "a bigint, sh bigint, stretch binary, n bigint, salt int, salts int")
     place = lambda rows: rows.sortWithinPartitions("a", "salt").mapInPandas(_located(window), "a bigint, sh bigint, ranges array<int>")
     covers = written(place(cold.unionAll(hot).repartition("a", "salt")), "covers")
     forget(distinct)

@@ -17,7 +17,7 @@ from ledgerloom.llm.common import documents, written
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity passes their language's fence."""
-    return kn_quality.classify(docs, kn_quality.trusted_ids(spark, sf_dir)).where("quality.kept").select(docs.columns)
+    return kn_quality.classify(docs, kn_quality.trusted_ids(spark, sf_dir), into="__quality").where("__quality.kept").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

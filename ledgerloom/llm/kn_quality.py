@@ -163,7 +163,7 @@ def bits_array(orders: tuple[DataFrame, ...]) -> np.ndarray:
 
 
 def with_bits(df: DataFrame, bits: np.ndarray, text: str = "text") -> DataFrame:
-    """``df`` with a struct column ``lm`` (bits per character, characters)."""
+    """``df`` with a struct column ``__lm`` (bits per character, characters)."""
     shared = df.sparkSession.sparkContext.broadcast(bits)
     kind = T.StructType([T.StructField("bits", T.DoubleType()), T.StructField("chars", T.LongType())])
 
@@ -174,7 +174,7 @@ def with_bits(df: DataFrame, bits: np.ndarray, text: str = "text") -> DataFrame:
         per = (total[ends] - total[ends - n]) / np.maximum(n, 1)
         return [{"bits": b, "chars": c} for b, c in zip(per.tolist(), n.tolist())]
 
-    return df.withColumn("lm", text_udf(kind, scored)(F.col(text)))
+    return df.withColumn("__lm", text_udf(kind, scored)(F.col(text)))
 
 
 def quantiles(scores: DataFrame) -> dict:
@@ -189,14 +189,14 @@ def quantiles(scores: DataFrame) -> dict:
     return {r[0]: (r[1], r[2]) for r in ranked.groupBy("lang").agg(at(MEDIAN), at(HIGH)).collect()}
 
 
-def classify(df: DataFrame, trusted_ids: DataFrame, spread: float = SPREAD) -> DataFrame:
-    """``df`` (doc_id, text, lang, ...) with a struct column ``quality``: bits, chars, judged, threshold, kept."""
+def classify(df: DataFrame, trusted_ids: DataFrame, spread: float = SPREAD, into: str = "quality") -> DataFrame:
+    """``df`` (doc_id, text, lang, ...) with a struct column ``into``: bits, chars, judged, threshold, kept."""
     trusted = trusted_ids.select("doc_id").where("doc_id IS NOT NULL")
     # The ids grow with the input, so they are never broadcast; trusted text is dealt by doc_id, once.
     counts = written(count_grams(df.select("doc_id", "text").join(trusted.hint("merge"), "doc_id", "left_semi")), "kn-counts")
     release(df.sparkSession)
     scored = with_bits(df, bits_array(smoothed(counts)))
-    fences = quantiles(scored.select("doc_id", "lang", "lm.bits", "lm.chars").where("chars > 0").join(trusted, "doc_id", "left_semi"))
+    fences = quantiles(scored.select("doc_id", "lang", F.col("__lm.bits").alias("bits"), F.col("__lm.chars").alias("chars")).where("chars > 0").join(trusted, "doc_id", "left_semi"))
     median, high = fences.get("", (0.0, 1e9))
     key = F.concat(F.lit("="), F.coalesce("lang", F.lit("\x00null")))
     middle, limit = F.lit(float(median)), F.lit(float(median + max(MARGIN, spread * (high - median))))
@@ -204,8 +204,8 @@ def classify(df: DataFrame, trusted_ids: DataFrame, spread: float = SPREAD) -> D
         if k:
             middle = F.when(key == k, F.lit(float(m))).otherwise(middle)
             limit = F.when(key == k, F.lit(float(m + max(MARGIN, spread * (h - m))))).otherwise(limit)
-    judged = (F.col("lm.bits") * F.col("lm.chars") + middle * PRIOR) / (F.col("lm.chars") + PRIOR)
-    return scored.withColumn("quality", F.struct("lm.bits", "lm.chars", judged.alias("judged"), limit.alias("threshold"), (judged <= limit).alias("kept"))).drop("lm")
+    judged = (F.col("__lm.bits") * F.col("__lm.chars") + middle * PRIOR) / (F.col("__lm.chars") + PRIOR)
+    return scored.withColumn(into, F.struct("__lm.bits", "__lm.chars", judged.alias("judged"), limit.alias("threshold"), (judged <= limit).alias("kept"))).drop("__lm")
 
 
 def trusted_ids(spark, sf_dir: str) -> DataFrame:

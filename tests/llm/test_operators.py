@@ -34,7 +34,7 @@ def odd_table(spark):
     """Nulls in every column, equal rows, null ids, and columns whose names the operators use themselves."""
     rows = [(i if i % 5 else None, t, None if i % 3 == 0 else "en", None if i % 4 == 0 else "s", None) for i, t in enumerate(ODD + ODD[:4])]
     rows += [rows[5], rows[5]]
-    return spark.createDataFrame(rows, DOC).selectExpr("*", "1 AS size", "2 AS h", "'z' AS row", "3 AS t", "4 AS w", "5 AS fp", "6 AS base", "7 AS th", "8 AS spans", "9 AS lm", "10 AS quality_")
+    return spark.createDataFrame(rows, DOC).selectExpr("*", "1 AS size", "2 AS h", "'z' AS row", "3 AS t", "4 AS w", "5 AS fp", "6 AS base", "7 AS th", "8 AS spans", "9 AS lm", "10 AS quality")
 
 
 @pytest.mark.parametrize("empty", [False, True])
@@ -341,6 +341,8 @@ def test_passages_against_all_windows(spark, monkeypatch, hot):
         own = prose(rng, rng.randint(5, 150)).split()
         at, a, b = rng.randint(0, len(own)), rng.randint(0, 20), rng.randint(36, 60)
         texts.append(" ".join(own[:at] + shared[a:b] + own[at:]))
+    # An anchor that recurs in other company only: a group in which nothing is confirmed.
+    texts += [prose(rng, 30) + " one two three four five six seven eight nine " + prose(rng, 30) for _ in range(6)]
     texts += [texts[-1], prose(rng, 34), " ".join(shared[:34]), (prose(rng, 40) + "\n") * 3, "again " * 100]
     got = {r.doc_id: r.passages for r in phrase_automata.dedup_passages(docs(spark, texts)).collect()}
     want = _passages(texts)
@@ -436,6 +438,24 @@ def test_pipeline_against_plain_python(spark, tmp_path):
     assert got == {i: n * len(WORD.findall(clean[i])) for i, n in taken.items() if n}
 
 
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_on_odd_tables(spark, tmp_path, empty):
+    import corpus_pipeline
+
+    df = odd_table(spark)
+    spark.createDataFrame([(1, 1, 0), (None, 1, None)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    df = df.where("false") if empty else df
+    for name, stage in corpus_pipeline.STAGES:
+        out = common.written(stage(spark, df, str(tmp_path)), name)
+        if name == "packing":
+            assert out.count() >= df.count()
+        else:
+            assert out.columns == df.columns and out.count() <= 3 * df.count()
+        if name == "near_duplicates" and not empty:
+            kept = [r.doc_id for r in out.collect() if r.doc_id is not None]
+            assert len(kept) == len(set(kept)) < df.count()
+
+
 @pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are not here")
 def test_queries_against_sql(spark):
     import os

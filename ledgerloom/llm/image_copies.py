@@ -22,11 +22,14 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import written
+from .common import text_udf, written
 from .components import components
 
 SCALES = (1.0, 1.5)
@@ -68,9 +71,25 @@ _DISC = ((_GRID**2).sum(axis=0) <= RADIUS * RADIUS).astype(np.float32)
 
 def _box(a: np.ndarray) -> np.ndarray:
     """Sum over 3 x 3, edges repeated."""
-    p = np.pad(a, 1, mode="edge")
-    rows = p[:-2] + p[1:-1] + p[2:]
-    return rows[:, :-2] + rows[:, 1:-1] + rows[:, 2:]
+    rows = a.copy()
+    rows[1:] += a[:-1]
+    rows[:-1] += a[1:]
+    rows[0] += a[0]
+    rows[-1] += a[-1]
+    out = rows.copy()
+    out[:, 1:] += rows[:, :-1]
+    out[:, :-1] += rows[:, 1:]
+    out[:, 0] += rows[:, 0]
+    out[:, -1] += rows[:, -1]
+    return out
+
+
+def _slopes(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Central differences down and across; none at the edges, where no corner is."""
+    y, x = np.zeros_like(a), np.zeros_like(a)
+    y[1:-1] = (a[2:] - a[:-2]) / 2
+    x[:, 1:-1] = (a[:, 2:] - a[:, :-2]) / 2
+    return y, x
 
 
 def _resized(image: np.ndarray, scale: float) -> np.ndarray:
@@ -90,7 +109,8 @@ def _peaks(a: np.ndarray, radius: int) -> np.ndarray:
     for axis in (0, 1):
         a = np.swapaxes(a, 0, axis)
         width, span = 2 * radius + 1, 1
-        p = np.pad(a, ((radius, radius), (0, 0)), constant_values=-1.0)
+        p = np.full((len(a) + 2 * radius, a.shape[1]), -1.0, a.dtype)
+        p[radius : radius + len(a)] = a
         while span * 2 <= width:
             p = np.maximum(p[:-span], p[span:])
             span *= 2
@@ -98,16 +118,16 @@ def _peaks(a: np.ndarray, radius: int) -> np.ndarray:
     return a
 
 
-def corners(image: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
-    """(scale's index, x, y, orientation in milliradians, descriptor's low and high 64 bits) of an image's corners, in
-    quarters of the image's own pixels."""
-    out = []
-    for level, scale in enumerate(SCALES):
+def corners(image: np.ndarray | None) -> np.ndarray:
+    """Rows (scale's index, x, y, orientation in milliradians, descriptor's low and high 64 bits) of an image's corners;
+    places are in quarters of the image's own pixels."""
+    out = [np.zeros((0, 6), np.int64)]
+    for level, scale in enumerate(SCALES if image is not None else ()):
         a = _resized(image, scale)
         if min(a.shape) < 2 * RADIUS + 3:
             continue
         s = _box(a) / 9
-        gy, gx = np.gradient(s)
+        gy, gx = _slopes(s)
         xx, yy, xy = _box(gx * gx), _box(gy * gy), _box(gx * gy)
         r = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
         inner = np.full_like(r, -1.0)
@@ -123,25 +143,32 @@ def corners(image: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
         px = np.rint(_TESTS[None, :, :, 1] * c - _TESTS[None, :, :, 0] * n).astype(int)
         v = s[np.clip(y[:, None, None] + py, 0, s.shape[0] - 1), np.clip(x[:, None, None] + px, 0, s.shape[1] - 1)]
         words = np.packbits(v[:, :, 0] < v[:, :, 1], axis=1).view("<i8")
-        place = [np.rint(4 * scale * c).astype(int).tolist() for c in (x, y)]
-        out += zip([level] * len(y), *place, np.rint(1000 * angle).astype(int).tolist(), words[:, 0].tolist(), words[:, 1].tolist())
-    return out
+        place = [np.rint(4 * scale * c).astype(np.int64) for c in (x, y)]
+        out.append(np.column_stack([np.full(len(y), level), *place, np.rint(1000 * angle).astype(np.int64), words]))
+    return np.concatenate(out)
 
 
 _FIELDS = ("level", "x", "y", "angle", "lo", "hi")
 _CORNER = T.StructType([T.StructField(c, T.LongType() if c in ("lo", "hi") else T.IntegerType()) for c in _FIELDS])
 
 
-@F.pandas_udf(T.ArrayType(_CORNER))
-def corner_column(images: pd.Series) -> pd.Series:
+def _lists(parts: list[np.ndarray], values: pa.Array, kind) -> pa.Array:
+    """An array of lists: as many values as each part has rows."""
+    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), values).cast(to_arrow_type(kind))
+
+
+@F.arrow_udf(T.ArrayType(_CORNER))
+def corner_column(images: pa.Array) -> pa.Array:
     """Descriptors of a binary column."""
-    decoded = (decode(x) for x in images)
-    return pd.Series([[dict(zip(_FIELDS, c)) for c in corners(a)] if a is not None else [] for a in decoded])
+    found = [corners(decode(x.as_py())) for x in images]
+    flat = np.concatenate([np.zeros((0, len(_FIELDS)), np.int64), *found])
+    columns = [pa.array(flat[:, i]).cast(pa.int64() if c in ("lo", "hi") else pa.int32()) for i, c in enumerate(_FIELDS)]
+    return _lists(found, pa.StructArray.from_arrays(columns, list(_FIELDS)), T.ArrayType(_CORNER))
 
 
-def triangles(points: list[dict]) -> list[int]:
-    """Consensus keys of one image's corners (level, x, y, angle, word): words and shape of triangles of near corners."""
-    table = np.array([(p["level"], p["x"], p["y"], p["angle"], p["word"]) for p in points], np.int64).reshape(-1, 5)
+def triangles(table: np.ndarray) -> np.ndarray:
+    """Consensus keys of one image's corners (rows level, x, y, angle, word): words and shape of triangles of near ones."""
     keys = []
     for level in range(len(SCALES)):
         some = table[table[:, 0] == level]
@@ -167,12 +194,16 @@ def triangles(points: list[dict]) -> list[int]:
                 h = (h ^ x.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(31)
         keys.append(h.view(np.int64))
-    return np.unique(np.concatenate(keys)).tolist() if keys else []
+    return np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def triangle_column(points: pd.Series) -> pd.Series:
-    return pd.Series([triangles(list(p)) for p in points])
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def triangle_column(points: pa.Array) -> pa.Array:
+    flat = points.flatten()
+    table = np.column_stack([flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("level", "x", "y", "angle", "word")])
+    ends = np.cumsum([n.as_py() or 0 for n in pa.compute.list_value_length(points)], dtype=np.int64)
+    found = [triangles(t) for t in np.split(table, ends[:-1])] if len(ends) else []
+    return _lists(found, pa.array(np.concatenate([np.zeros(0, np.int64), *found])), T.ArrayType(T.LongType()))
 
 
 def _bucket_links(batches):
@@ -186,12 +217,14 @@ def _bucket_links(batches):
         lo, hi = lo.view(np.uint64), hi.view(np.uint64)
         cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
         a, b = [], []
-        for start, stop in zip(cuts, cuts[1:]):
+        cuts = np.array(cuts)
+        for k in np.flatnonzero(np.diff(cuts) > 1).tolist():
+            start, stop = int(cuts[k]), int(cuts[k + 1])
             n = stop - start
             parent = np.arange(n)
             step = max(1, (1 << 20) // n)
-            for at in range(0, n if n > 1 else 0, step):
-                x, y = lo[start:stop], hi[start:stop]
+            x, y = lo[start:stop], hi[start:stop]
+            for at in range(0, n, step):
                 d = np.bitwise_count(x[at : at + step, None] ^ x[None]) + np.bitwise_count(y[at : at + step, None] ^ y[None])
                 i, j = np.nonzero(d <= MAX_BITS)
                 for p, q in zip((i + at).tolist(), j.tolist()):
@@ -244,14 +277,12 @@ def image_copies(df: DataFrame, image: str = "image") -> DataFrame:
 CELL, COLUMNS = 3, 24
 
 
-@F.pandas_udf(T.BinaryType())
-def page_image(texts: pd.Series) -> pd.Series:
-    """A raster of a text: each word is a cell whose texture its digest fixes, in reading order, COLUMNS to a row."""
+def _sheets(texts: list[str | None]) -> list[bytes | None]:
     import xxhash
 
     out = []
     for text in texts:
-        words = (text or "").encode("utf-8", "surrogatepass").split() if isinstance(text, str) else []
+        words = (text or "").encode("utf-8", "surrogatepass").split()
         if not words:
             out.append(None)
             continue
@@ -260,7 +291,11 @@ def page_image(texts: pd.Series) -> pd.Series:
         sheet = np.zeros((rows * COLUMNS, CELL, CELL), np.uint8)
         sheet[: len(cells)] = cells
         out.append(encode(sheet.reshape(rows, COLUMNS, CELL, CELL).transpose(0, 2, 1, 3).reshape(rows * CELL, COLUMNS * CELL)))
-    return pd.Series(out)
+    return out
+
+
+#: A raster of a text: each word is a cell whose texture its digest fixes, in reading order, COLUMNS to a row.
+page_image = text_udf(T.BinaryType(), _sheets)
 
 
 def query(spark, sf_dir):

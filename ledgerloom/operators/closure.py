@@ -36,6 +36,13 @@ OTHER_REFS = (
     "emitted_observation_refs", "deployment_dependency_refs",
 )
 
+#: The fields of a registration as JSON.
+REGISTRATION_FIELDS = (
+    "designId", "componentId", "designRevision", "designRequirement", "status", "documentRef", "topicCoverage",
+    "providedContractRefs", "requiredContractRefs", "producedStateRefs", "consumedStateRefs", "issuedAuthorityRefs",
+    "requiredAuthorityRefs", "emittedObservationRefs", "deploymentDependencyRefs", "acceptanceCriteria", "supersedes",
+)
+
 
 def _true(x):
     return F.coalesce(x, F.lit(False))
@@ -113,6 +120,12 @@ def field_rules(f: Facts) -> DataFrame:
     )
 
 
+def unknown_fields(raw: DataFrame, fields=REGISTRATION_FIELDS) -> DataFrame:
+    """Unknown keys of registrations as JSON texts (component_id, body), before a typed reading drops them."""
+    rows = raw.select("component_id", F.explode(K.unknown_keys(F.col("body"), list(fields))).alias("k"))
+    return rule(rows, "registration-field-unknown", "concat(component_id, ':', k)", "gates")
+
+
 def reference_rules(f: Facts) -> DataFrame:
     """Document references that resolve to nothing, and documents with other sections than the contract's."""
     r = f.rows.where("document_ref IS NOT NULL")

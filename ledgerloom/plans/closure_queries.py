@@ -98,6 +98,12 @@ for _name, (_code, _sql) in _RULES.items():
     query(_name, f"{_BASE} SELECT '{_code}' AS code, subject FROM ({_sql})")(_rule(_name, _code))
 
 
+@query("K04_unknown_fields", "SELECT 'registration-field-unknown' AS code, 'C' || s_suppkey || ':' || k AS subject, 'gates' AS cls FROM supplier, (SELECT unnest(['extra', 'note']) AS k) WHERE s_suppkey % 9 = 1")
+def k04(spark, d):
+    body = """concat('{"componentId":"C', s_suppkey, '","status":"accepted"', CASE WHEN s_suppkey % 9 = 1 THEN ',"note":1,"extra":{"a":2}' ELSE '' END, '}')"""
+    return C.unknown_fields(table(spark, d, "supplier").selectExpr("concat('C', s_suppkey) AS component_id", f"{body} AS body"))
+
+
 @query("K26_closure_members", f"""{_BASE}, kept AS (SELECT * FROM r WHERE c = 'C' || k AND status <> 'superseded')
 SELECT 'C' || s.k AS component_id, 'D' || s.k AS design_id, CAST(CASE WHEN kept.k IS NULL THEN NULL WHEN s.k % 43 = 7 THEN 0 ELSE 1 END AS BIGINT) AS revision, kept.status, CASE WHEN kept.k IS NOT NULL THEN 'DOC-' || s.k END AS document_id,
   CAST(CASE WHEN kept.k IS NOT NULL THEN 1 END AS BIGINT) AS n_local, CAST(CASE WHEN kept.k IS NOT NULL THEN CASE WHEN odd THEN 0 ELSE 1 END END AS BIGINT) AS n_inherited, CAST(CASE WHEN kept.k IS NOT NULL THEN 1 END AS BIGINT) AS n_not_applicable,

@@ -112,7 +112,10 @@ def k26(spark, d):
     return C.closure_members(facts(spark, d))
 
 
-@query("K27_closure_counts")
+_ALL = " UNION ALL ".join(f"SELECT '{code}' AS code, subject FROM ({sql})" for code, sql in _RULES.values())
+
+
+@query("K27_closure_counts", f"{_BASE} SELECT count(*) AS all_findings, count(DISTINCT code || '|' || subject) AS distinct_findings, 'invalid' AS outcome FROM ({_ALL})")
 def k27(spark, d):
     return C.closure_counts(C.closure_findings(facts(spark, d)))
 

@@ -274,7 +274,9 @@ def image_copies(df: DataFrame, image: str = "image") -> DataFrame:
     return out.select("image_id", "n_corners", F.coalesce("root", "image_id").alias("class_id"), F.coalesce("n_keys", F.lit(0).cast("long")).alias("n_keys"))
 
 
-CELL, COLUMNS = 3, 24
+CELL, COLUMNS = 4, 24
+#: Blank pixels round a sheet, so that every pixel of a word can be a corner, however few rows a page has.
+MARGIN = RADIUS + 1
 
 
 def _sheets(texts: list[str | None]) -> list[bytes | None]:
@@ -290,11 +292,12 @@ def _sheets(texts: list[str | None]) -> list[bytes | None]:
         rows = -(-len(words) // COLUMNS)
         sheet = np.zeros((rows * COLUMNS, CELL, CELL), np.uint8)
         sheet[: len(cells)] = cells
-        out.append(encode(sheet.reshape(rows, COLUMNS, CELL, CELL).transpose(0, 2, 1, 3).reshape(rows * CELL, COLUMNS * CELL)))
+        out.append(encode(np.pad(sheet.reshape(rows, COLUMNS, CELL, CELL).transpose(0, 2, 1, 3).reshape(rows * CELL, COLUMNS * CELL), MARGIN)))
     return out
 
 
-#: A raster of a text: each word is a cell whose texture its digest fixes, in reading order, COLUMNS to a row.
+#: A raster of a text: each word is a cell whose texture its digest fixes, in reading order, COLUMNS to a row,
+#: within a blank margin.
 page_image = text_udf(T.BinaryType(), _sheets)
 
 

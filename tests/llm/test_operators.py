@@ -86,6 +86,15 @@ def test_image_links_are_all_shared_keys(spark):
     assert got[3] == got[4] == got[1] == 0 and got[2] == 2
 
 
+def test_short_pages_have_corners_and_share_a_class(spark):
+    texts = [" ".join(f"w{k}x{i}" for i in range(n)) for k, n in enumerate((20, 40, 96, 120, 200))]
+    sheets = image_copies._sheets(texts + texts)
+    assert image_copies.CELL >= 4 and all(len(image_copies.corners(image_copies.decode(x))) >= 3 for x in sheets)
+    df = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(sheets)], "image_id bigint, image binary")
+    got = {r.image_id: r.class_id for r in image_copies.image_copies(df).collect()}
+    assert got == {i: i % len(texts) for i in range(2 * len(texts))}
+
+
 # ---- 2 ----------------------------------------------------------------------------------------------------------
 
 

@@ -5,8 +5,9 @@ character that the automaton has never seen is a phrase.  Phrases cost log2 of t
 languages with more text are not favoured; the least cost per character wins.
 
 Scale: the automata are fitted on the driver from a bounded sample (``rows_per_language`` whole rows, ``sample_chars``
-characters of each language, at most ``max_languages`` languages); their transition tables have at most
-2 * sample_chars states over at most 64 symbols, so the broadcast has a proven bound.  Whole texts are parsed, in blocks
+characters of each language, at most ``max_languages`` languages).  Every character of a language's sample has a symbol
+of its own; an automaton has at most 2 * sample_chars states and 3 * sample_chars transitions, those of the language's
+63 most frequent characters in a dense table and the others in a sorted list, so the broadcast has a proven bound.  Whole texts are parsed, in blocks
 of ``BLOCK`` symbols that all advance together in numpy; a match ends with its block, whatever batch the text came in.
 
 Defined results: null text and text without a letter give ``und`` with score 0; rows without lang teach nothing; ties
@@ -27,6 +28,7 @@ from .common import documents, text_udf
 SAMPLE_CHARS = 30_000
 ROWS_PER_LANGUAGE = 200
 MAX_LANGUAGES = 200
+#: Symbols of an automaton whose transitions are in the dense table; those above are in a sorted list.
 ALPHABET = 64
 BLOCK = 1024
 _LANES = 4096
@@ -66,19 +68,35 @@ def parsing_table(step: list[dict[int, int]], n_symbols: int) -> np.ndarray:
     """Next state for (state, symbol), times n_symbols; the sign bit marks that a phrase ended before the symbol.
 
     Where no match goes on, the next one starts at the symbol itself; a symbol that the root does not know is a phrase.
+    Symbols from n_symbols on are left to ``sparse_table``.
     """
     table = np.zeros((len(step), n_symbols), np.int32)
     root = np.full(n_symbols, 0, np.int32)
     for c, to in step[0].items():
-        root[c] = to * n_symbols
+        if c < n_symbols:
+            root[c] = to * n_symbols
     table[:] = root | np.int32(-(1 << 31))
     for state, edges in enumerate(step):
         for c, to in edges.items():
-            table[state, c] = to * n_symbols
+            if c < n_symbols:
+                table[state, c] = to * n_symbols
     # At the root no match is open: a known symbol opens one, an unknown one is a phrase by itself.
     return table.reshape(-1)
 
 
+def sparse_table(step: list[dict[int, int]], n_symbols: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For symbols from n_symbols to size: sorted keys (state * size + symbol), their entries, and each symbol's own.
+
+    Entries are those of ``parsing_table``; a symbol's own entry holds where no key does.
+    """
+    found = sorted((state * size + c, to * n_symbols) for state, edges in enumerate(step) for c, to in edges.items() if c >= n_symbols)
+    own = np.zeros(size, np.int32)
+    for c, to in step[0].items():
+        own[c] = to * n_symbols
+    keys, entries = np.array(found, np.int64).reshape(-1, 2).T
+    return np.ascontiguousarray(keys), entries.astype(np.int32), own | np.int32(-(1 << 31))
+
+
 def _letters(text: str) -> str:
     """Lower case; runs of anything but letters are one blank."""
     return _OTHERS.sub(" ", text.lower())
@@ -90,22 +108,23 @@ class Model:
     def __init__(self, samples: dict[str, str], sample_chars: int = SAMPLE_CHARS):
         self.languages = sorted(samples)
         texts = {k: _letters(v)[:sample_chars] for k, v in samples.items()}
-        counts: dict[str, int] = {}
-        for text in texts.values():
-            for c in text:
-                counts[c] = counts.get(c, 0) + 1
-        chars = sorted(sorted(counts, key=lambda c: (-counts[c], c))[: ALPHABET - 1])
-        #: Symbol 0 stands for every character that is rare in or absent from the samples.
-        self.symbol = np.zeros(0x110000, np.uint8)
-        for i, c in enumerate(chars):
-            self.symbol[ord(c)] = i + 1
-        self.n = len(chars) + 1
-        self.tables, self.cost = [], []
+        chars = sorted(set().union(*texts.values()))
+        #: Character to its place among those of all samples; 0 stands for every character that is absent from them.
+        self.place = np.zeros(0x110000, np.int32)
+        self.place[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.symbols, self.tables, self.sparse, self.sizes, self.cost = [], [], [], [], []
         for k in self.languages:
-            step = suffix_automaton([int(x) for x in self.symbol[_codes(texts[k])]])
-            for edges in step:
-                edges.pop(0, None)
-            self.tables.append(parsing_table(step, self.n))
+            codes = self.place[_codes(texts[k])]
+            # A language's own symbols, the most frequent first; 0 for what its sample lacks.
+            own, n = np.unique(codes, return_counts=True)
+            symbol = np.zeros(len(chars) + 1, np.int32)
+            symbol[own[np.argsort(-n, kind="stable")]] = np.arange(1, len(own) + 1)
+            step = suffix_automaton(symbol[codes].tolist())
+            size = min(ALPHABET, len(own) + 1)
+            self.symbols.append(symbol)
+            self.sizes.append(size)
+            self.tables.append(parsing_table(step, size))
+            self.sparse.append(sparse_table(step, size, len(own) + 1))
             self.cost.append(np.log2(max(2, len(texts[k]))))
 
     def phrases(self, texts: list[str]) -> np.ndarray:
@@ -113,7 +132,7 @@ class Model:
         out = np.zeros((len(texts), len(self.languages)), np.int64)
         blocks, owner = [], []
         for i, text in enumerate(texts):
-            s = self.symbol[_codes(text)]
+            s = self.place[_codes(text)]
             for at in range(0, len(s), BLOCK):
                 blocks.append(s[at : at + BLOCK])
                 owner.append(i)
@@ -126,11 +145,19 @@ class Model:
                 grid[: sizes[lane], lane] = blocks[i]
             active = np.searchsorted(-sizes, -np.arange(len(grid)), side="left")
             who = np.array([owner[i] for i in mine])
-            for k, table in enumerate(self.tables):
+            for k, (table, size, (keys, entries, own)) in enumerate(zip(self.tables, self.sizes, self.sparse)):
+                mine_symbols = self.symbols[k][grid]
+                rare = (mine_symbols >= size).any(axis=1) if len(keys) else np.zeros(len(grid), bool)
                 state, ended = np.zeros(len(mine), np.int32), np.ones(len(mine), np.int64)
                 for t in range(len(grid)):
                     m = active[t]
-                    entry = table[state[:m] + grid[t, :m]]
+                    c = mine_symbols[t, :m]
+                    entry = table[state[:m] + (c if not rare[t] else np.where(c < size, c, 0))]
+                    if rare[t]:
+                        at = np.flatnonzero(c >= size)
+                        key = (state[at] // size).astype(np.int64) * len(own) + c[at]
+                        i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                        entry[at] = np.where(keys[i] == key, entries[i], own[c[at]])
                     ended[:m] += entry < 0
                     state[:m] = entry & 0x7FFFFFFF
                 np.add.at(out[:, k], who, ended)

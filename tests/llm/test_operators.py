@@ -137,6 +137,30 @@ def test_parsing_table_against_plain_matching():
         assert abs(int(model.phrases([probe])[0, 0]) - want) <= probe.count("d")
 
 
+def test_many_scripts_keep_their_own_symbols():
+    """Languages whose characters are rare over all samples, by plain substring matching."""
+    rng = random.Random(4)
+    scripts = {"el": range(0x3B1, 0x3CA), "en": range(0x61, 0x7B), "ja": range(0x3041, 0x3097), "ru": range(0x430, 0x450), "zh": range(0x4E00, 0x4E00 + 400)}
+    vocabulary = {k: ["".join(chr(rng.choice(v)) for _ in range(4)) for _ in range(150)] for k, v in scripts.items()}
+    text = lambda k, n: " ".join(rng.choice(vocabulary[k]) for _ in range(n))
+    samples = {k: text(k, {"en": 900}.get(k, 300)) for k in scripts}
+    model = cross_parse.Model(samples)
+    probes = [(k, text(k, 30)) for k in scripts for _ in range(4)]
+    assert model.predict([t for _, t in probes])[0] == [k for k, _ in probes]
+    probes += [("", samples["zh"][100:400] + samples["el"][50:90]), ("", samples["ja"][7:300])]
+    for (_, probe), row in zip(probes, model.phrases([t for _, t in probes])):
+        for k, got in zip(model.languages, row.tolist()):
+            i = want = 0
+            while i < len(probe):
+                j = i + 1
+                while j <= len(probe) and probe[i:j] in samples[k]:
+                    j += 1
+                i = max(i + 1, j - 1)
+                want += 1
+            # As in one automaton: a character that the sample lacks ends the match before it, and is no phrase twice.
+            assert abs(got - want) <= sum(c not in samples[k] for c in probe)
+
+
 def test_languages_held_out(spark):
     rng = random.Random(2)
     parts = {"aa": ["ka", "lo", "mi", "tu"], "bb": ["sch", "ung", "keit", "ver"]}

@@ -4,11 +4,12 @@ A suffix automaton of labelled text per language parses a text greedily into lon
 character that the automaton has never seen is a phrase.  Phrases cost log2 of the automaton's text length each, so
 languages with more text are not favoured; the least cost per character wins.
 
-Scale: the automata are fitted on the driver from a bounded sample (``rows_per_language`` whole rows, ``sample_chars``
-characters of each language, at most ``max_languages`` languages).  Every character of a language's sample has a symbol
-of its own; an automaton has at most 2 * sample_chars states and 3 * sample_chars transitions, those of the language's
-63 most frequent characters in a dense table and the others in a sorted list, so the broadcast has a proven bound.  Whole texts are parsed, in blocks
-of ``BLOCK`` symbols that all advance together in numpy; a match ends with its block, whatever batch the text came in.
+Scale: the automata are fitted on the driver from a bounded sample (``rows_per_language`` rows and ``sample_chars``
+letters of each language, of every row an even share, longer where others are short; at most ``max_languages``
+languages).  Every character of a language's sample has a symbol of its own; an automaton has at most 2 * sample_chars
+states and 3 * sample_chars transitions, those of the language's 63 most frequent characters in a dense table and the
+others in a sorted list, so the broadcast has a proven bound.  Whole texts are parsed, in blocks of ``BLOCK`` symbols
+that all advance together in numpy; a match ends with its block, whatever batch the text came in.
 
 Defined results: null text and text without a letter give ``und`` with score 0; rows without lang teach nothing; ties
 go to the language first in code point order; no labelled row at all gives ``und`` everywhere.
@@ -182,6 +183,18 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def _even(rows: list[str], chars: int) -> str:
+    """The starts of all rows, in order, within ``chars`` letters: what short rows leave is shared by the longer ones.
+
+    Blanks between rows keep words apart.
+    """
+    cut, left = [""] * len(rows), chars - max(0, len(rows) - 1)
+    for k, i in enumerate(sorted(range(len(rows)), key=lambda i: len(rows[i]))):
+        cut[i] = rows[i][: max(1, left // (len(rows) - k))]
+        left -= len(cut[i])
+    return " ".join(cut)
+
+
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE, sample_chars: int = SAMPLE_CHARS, max_languages: int = MAX_LANGUAGES) -> Model:
     """Automata from a bounded sample of the labelled rows of ``df`` (doc_id, text, lang).
 
@@ -199,13 +212,12 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", rows_per_language
         rate = F.when(F.col("lang") == k, F.lit(min(1.0, 3.0 * rows_per_language / n))).otherwise(rate)
     few = rows.where((F.col("h") / F.lit(2.0**64) + 0.5) <= rate)
     picked = few.withColumn("k", F.expr("row_number() OVER (PARTITION BY lang ORDER BY h, text)")).where(F.col("k") <= rows_per_language)
-    # Only so much of a row can enter the automaton; blanks between rows keep words apart.
+    # Only so much of a row can enter the automaton.
     picked = picked.select("lang", "k", F.substring("text", 1, 2 * sample_chars).alias("text")).orderBy("lang", "k").collect()
     samples: dict[str, list[str]] = {}
     for r in picked:
-        if sum(map(len, samples.setdefault(r["lang"], []))) < 2 * sample_chars:
-            samples[r["lang"]].append(r["text"])
-    return Model({k: " ".join(v) for k, v in samples.items()}, sample_chars)
+        samples.setdefault(r["lang"], []).append(_letters(r["text"]).strip())
+    return Model({k: _even(v, sample_chars) for k, v in samples.items()}, sample_chars)
 
 
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -161,6 +161,15 @@ def test_many_scripts_keep_their_own_symbols():
             assert abs(got - want) <= sum(c not in samples[k] for c in probe)
 
 
+def test_all_picked_rows_are_learned_from(spark):
+    """A very long row leaves room for the others: every row has a letter that no other has."""
+    rows = [(i, chr(0x4E00 + i) + " abc" * (20_000 if i % 7 == 0 else 5), "xx") for i in range(200)]
+    model = cross_parse.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), sample_chars=8000)
+    assert all(model.place[0x4E00 + i] for i in range(200))
+    assert len(cross_parse._even([t for _, t, _ in rows], 8000)) <= 8000
+    assert cross_parse._even(["abcdef", "x", "abcdef"], 11) == "abcd x abcd"
+
+
 def test_languages_held_out(spark):
     rng = random.Random(2)
     parts = {"aa": ["ka", "lo", "mi", "tu"], "bb": ["sch", "ung", "keit", "ver"]}

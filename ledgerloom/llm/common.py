@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 import pyarrow as pa
@@ -46,26 +47,48 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@contextlib.contextmanager
+def _shuffles_dropped(spark: SparkSession):
+    """What is run inside drops its shuffle files when it ends; nothing reads them once its table is written."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table written in the shared folder: it cuts lineage and survives the loss of executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffles_dropped(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``written``, dealt to files by ``key``: joins on it move the other side alone.
+
+    There are as many buckets as shuffles have partitions.  Tasks write their own rows, without a shuffle.  The catalogue holds the table only until it is read.
+    """
+    spark = df.sparkSession
+    name = f"{name}-{uuid.uuid4().hex}".replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{shared_dir(spark).rstrip('/')}/{name}"
+    with _shuffles_dropped(spark):
+        df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    out.written_path = path
+    return out
+
+
 def forget(df: DataFrame) -> None:
     """Deletes what ``written`` wrote; for tables that nothing reads any more."""
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(df.written_path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that are done; it does so when the driver's JVM collects garbage."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()

@@ -1,211 +1,350 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney n-gram model trained on trusted text.
 
-The units are characters in 64 classes (letters with case, accented letters by their own most frequent classes, one
-class for digits, marks one by one, the rest by kind), in n-grams of ``ORDER`` = 4.  Trusted text is that of documents
-labelled as good.  The steps: every task counts the n-grams of its trusted text (all of it, no sample) and the counts
-are summed in shards by n-gram; continuation counts, discounts, back-off weights and probabilities come from joins
-between the count tables of neighbouring orders, sharded by context; the joined table meets the documents and gives bits
-per character.  That table has at most 64 ** 4 entries whatever the input, a proven bound, so its last join is a
-broadcast of an array indexed by n-gram.  What is gathered from the corpus, the counts, grows with the trusted text.
+The units are characters as they are (code points of any script, no classes and no alphabet; runs of white space are one
+blank), in n-grams of ``ORDER`` = 5 with ORDER - 1 blanks before each text.  Trusted text is that of documents labelled
+as good; all of it is counted.
+
+1. Groups.  Every task packs its rows into groups of about ``GROUP_CHARS`` characters, each one compressed row of a table
+   that is bucketed by group, so that later joins by group move no text.
+2. Model.  n-grams of the trusted texts are counted by group and summed in shards by n-gram; continuation counts,
+   discounts, back-off weights and probabilities come from joins between the count tables of neighbouring orders.
+3. Sharded count joins.  Each group sends every n-gram that it holds once to the shards; the distinct ones meet the
+   tables of all orders, and their bits return to the groups that asked.
+4. The bits of a text's n-grams add up to its perplexity.  Texts are scored once, and the scored rows are written.
+
+Scale: no table of the model or of answers is collected or broadcast; a task holds one group.  What moves is the distinct
+n-grams of each group, which grow with the corpus.  Scoring goes over slices of ``SLICE`` characters, so a very long text
+needs no more memory than its own size.
 
 Thresholds: in each language, from the trusted documents' bits per character, median + ``SPREAD`` * (95 % quantile -
-median), at least ``MARGIN`` above the median, from exact quantiles of bits rounded to a thousandth.  A document of n characters is judged by
-(n * bits + PRIOR * median) / (n + PRIOR), so that short texts are not rejected by chance.
+median), at least ``MARGIN`` above the median, from exact quantiles of bits rounded to a thousandth.  A document of n
+characters is judged by (n * bits + PRIOR * median) / (n + PRIOR), so that short texts are not rejected by chance.
 
 Defined results: null and empty texts have 0 characters and the median of their language (kept); null lang is a language
-of its own; a language without trusted documents takes the quantiles of all; without trusted text nothing is rejected;
-rows keep their multiplicity and all their columns.
+of its own; a language without trusted documents takes the quantiles of all; without trusted text nothing is rejected
+(threshold null); rows keep their multiplicity and all their columns; null doc_id is never trusted.
 """
 
 from __future__ import annotations
 
-import re
-import unicodedata
-
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import documents, release, text_udf, written
+from .common import bucketed, documents, forget, written
 
-ORDER = 4
-CLASSES = 64
+ORDER = 5
 SPREAD = 3.0
 MARGIN = 0.3  # bits a character
 MEDIAN, HIGH = 0.5, 0.95
 PRIOR = 100
+GROUP_CHARS = 32 << 20
+SLICE = 1 << 20
+FEW_LANGUAGES = 100_000  # fences of so many languages are broadcast; more of them are joined by a shuffle
 _ROWS = 128
-_BLANK = re.compile(r"\s+")
-
-#: Characters with a class of their own, after the blank (0); others fall into the kinds below.
-SINGLE = "abcdefghijklmnopqrstuvwxyz" ".,;:!?'\"()-/&%$#*|<>=@_" "éèàñäöüß"
-KINDS = ("Lu", "L", "M", "N", "P")
-
-
-def _class_table() -> np.ndarray:
-    """Class of every code point: 0 blank, singles, then upper case, other letters, combining, digits, marks, the rest."""
-    table = np.full(0x110000, 1 + len(SINGLE) + len(KINDS), np.uint8)
-    for c in range(0x110000):
-        kind = unicodedata.category(chr(c))
-        for i, k in enumerate(KINDS):
-            if kind.startswith(k):
-                table[c] = 1 + len(SINGLE) + i
-                break
-    table[[ord(c) for c in SINGLE]] = np.arange(1, len(SINGLE) + 1)
-    table[[c for c in range(0x3000) if chr(c).isspace()]] = 0
-    assert table.max() < CLASSES
-    return table
-
-
-_TABLE: list[np.ndarray] = []
-
-
-def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram of every character of the texts (padded with blanks in front), and the characters of each text."""
-    if not _TABLE:
-        _TABLE.append(_class_table())
-    clean = [_BLANK.sub(" ", t).strip() if t else "" for t in texts]
-    sizes = np.array([len(t) for t in clean], np.int64)
-    pad = " " * (ORDER - 1)
-    joined = pad.join(["", *clean]).encode("utf-32-le", "surrogatepass")
-    s = _TABLE[0][np.frombuffer(joined, np.uint32)].astype(np.int32)
-    out = s[ORDER - 1 :].copy()
-    for k in range(1, ORDER):
-        out += s[ORDER - 1 - k : len(s) - k] * np.int32(CLASSES**k)
-    # Each text's last characters meet the padding of the next one; those positions hold no character of a text.
-    keep = np.ones(len(out), bool)
-    ends = np.cumsum(sizes + ORDER - 1) - (ORDER - 1)
-    for k in range(ORDER - 1):
-        at = ends[:-1] + k
-        keep[at[at < len(out)]] = False
-    return out[keep], sizes
-
-
-def _count(batches):
-    total = None
+_PAD = " " * (ORDER - 1)
+#: Odd multipliers: an n-gram's digest within its group is a sum over its code points.
+_MULTIPLIERS = np.random.default_rng(5).integers(1 << 62, 1 << 64, ORDER, dtype=np.uint64) | np.uint64(1)
+
+# An n-gram's key is its code points, 21 bits each, as a number: a holds the bits from 63 on, b those below.
+_CHAR, _PAIR = (1 << 21) - 1, (1 << 42) - 1
+
+
+def clean(text: str | None) -> str:
+    return " ".join(text.split()) if text else ""
+
+
+def key_of(gram: str) -> tuple[int, int]:
+    """(a, b) of an n-gram."""
+    value = 0
+    for c in gram:
+        value = value << 21 | ord(c)
+    return value >> 63, value & (1 << 63) - 1
+
+
+def _context(a: str, b: str) -> tuple[str, str]:
+    """SQL for the key without its last character."""
+    return f"shiftrightunsigned({a}, 21)", f"(shiftrightunsigned({b}, 21) | shiftleft({a} & {_CHAR}L, 42))"
+
+
+def _suffix(a: str, b: str, order: int) -> tuple[str, str]:
+    """SQL for the key of the last ``order`` characters."""
+    if order > 3:
+        return f"({a} & {(1 << 21 * (order - 3)) - 1}L)", b
+    return "0L", f"({b} & {(1 << 21 * order) - 1}L)" if order < 3 else b
+
+
+# ---- n-grams of texts -------------------------------------------------------------------------------------------
+
+
+def slices(texts: list[str]):
+    """(owners, n-grams of each part, digests of the n-grams, their first places, code points) of a few texts at a time."""
+
+    def made(owners: list[int], parts: list[str]):
+        sizes = np.array([len(p) - ORDER + 1 for p in parts], np.int64)
+        s = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        n = len(s) - ORDER + 1
+        g = s[:n] * _MULTIPLIERS[0]
+        for k in range(1, ORDER):
+            g += s[k : k + n] * _MULTIPLIERS[k]
+        # The places where one part's last characters meet the next part are no n-grams.
+        ends = np.cumsum(sizes + ORDER - 1)[:-1]
+        keep = np.ones(n, bool)
+        for k in range(1, ORDER):
+            keep[ends - k] = False
+        return owners, sizes, g[keep], np.flatnonzero(keep), s
+
+    owners, parts, size = [], [], 0
+    for i, text in enumerate(texts):
+        padded = _PAD + text
+        for at in range(0, len(text), SLICE):
+            owners.append(i)
+            parts.append(padded[at : at + SLICE + ORDER - 1])
+            size += len(parts[-1])
+            if size >= SLICE:
+                yield made(owners, parts)
+                owners, parts, size = [], [], 0
+    if parts:
+        yield made(owners, parts)
+
+
+def _keys(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    c = [s[at + k].astype(np.int64) for k in range(ORDER)]
+    return c[0] << 21 | c[1], c[2] << 42 | c[3] << 21 | c[4]
+
+
+def distinct_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(digest, a, b, occurrences) of each n-gram of the texts, sorted by digest."""
+    found = []
+    for _, _, g, places, s in slices(texts):
+        codes, u = pd.factorize(g)
+        first = np.empty(len(u), np.int64)
+        first[codes[::-1]] = places[::-1]
+        found.append((u, *_keys(s, first), np.bincount(codes, minlength=len(u))))
+    if not found:
+        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
+    g, a, b, n = (np.concatenate(x) for x in zip(*found))
+    u, first, codes = np.unique(g, return_index=True, return_inverse=True)
+    return u, a[first], b[first], np.bincount(codes, n, len(u)).astype(np.int64)
+
+
+# ---- groups of rows ---------------------------------------------------------------------------------------------
+
+
+def _packed(batches):
+    """Rows (row, id, t) to groups: (grp, ids, blob), blob an Arrow stream of (row, clean text)."""
+    task, number = TaskContext.get().partitionId() << 24, 0
+    ids, held, size = [], [], 0
+
+    def group() -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for part in held:
+                out.write_batch(part)
+        lists = pa.array([pa.concat_arrays(ids)], pa.list_(ids[0].type))
+        return pa.RecordBatch.from_arrays([pa.array([task + number], pa.int64()), lists, pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["grp", "ids", "blob"])
+
     for batch in batches:
-        texts = batch.column(0)
-        for i in range(0, len(texts), _ROWS):
-            if total is None:
-                total = np.zeros(CLASSES**ORDER, np.int32)
-            g, n = np.unique(grams(texts.slice(i, _ROWS).to_pylist())[0], return_counts=True)
-            total[g] += n.astype(np.int32)
-    if total is not None:
-        g = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), pa.array(total[g].astype(np.int64))], ["g", "n"])
+        for at in range(0, batch.num_rows, _ROWS):
+            part = batch.slice(at, _ROWS)
+            texts = pa.array([clean(t) for t in part.column("t").to_pylist()], pa.string())
+            ids.append(part.column("id"))
+            held.append(pa.RecordBatch.from_arrays([part.column("row"), texts], ["row", "t"]))
+            size += texts.nbytes
+            if size >= GROUP_CHARS:
+                yield group()
+                ids, held, size, number = [], [], 0, number + 1
+    if held:
+        yield group()
+
+
+def grouped(df: DataFrame, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """``grp, ids, blob``: the rows of ``df`` (doc_id, ...), packed; ``keep``: the columns that come back, all if None."""
+    row = F.struct(*[df[c] for c in (df.columns if keep is None else keep)])
+    rows = df.select(row.alias("row"), F.col("doc_id").alias("id"), F.col(text).alias("t"))
+    kind = T.StructType([T.StructField("grp", T.LongType()), T.StructField("ids", T.ArrayType(df.schema["doc_id"].dataType)), T.StructField("blob", T.BinaryType())])
+    return bucketed(rows.mapInArrow(_packed, kind), "grp", "kn-groups")
+
 
+def _unpacked(blob) -> pa.Table:
+    return pa.ipc.open_stream(pa.py_buffer(blob.as_py())).read_all()
 
-def count_grams(trusted: DataFrame, text: str = "text") -> DataFrame:
-    """``g, n``: the occurrences of every n-gram of the trusted texts, summed in shards by n-gram."""
-    return trusted.select(text).mapInArrow(_count, "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
+
+def trusted_places(groups: DataFrame, trusted_ids: DataFrame) -> DataFrame:
+    """``grp, trusted``: the places in each group of the rows whose doc_id is trusted; ids alone are shuffled."""
+    rows = groups.select("grp", F.posexplode("ids").alias("place", "doc_id")).where("doc_id IS NOT NULL")
+    return rows.join(trusted_ids.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("grp").agg(F.collect_list("place").alias("trusted"))
+
+
+# ---- the model --------------------------------------------------------------------------------------------------
+
+
+def _counted(batches):
+    for batch in batches:
+        for blob, places in zip(batch.column("blob"), batch.column("trusted")):
+            texts = _unpacked(blob).column("t").take(pa.array(places.as_py(), pa.int64())).to_pylist()
+            _, a, b, n = distinct_grams(texts)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], ["a", "b", "n"])
 
 
-def smoothed(counts: DataFrame) -> tuple[DataFrame, ...]:
-    """Modified Kneser-Ney by joins of count tables: for each order, from 1, ``g, h, p, back``.
+def count_grams(groups: DataFrame, places: DataFrame) -> DataFrame:
+    """``a, b, n``: the occurrences of every n-gram of the trusted texts, summed in shards by n-gram."""
+    mine = groups.select("grp", "blob").join(places, "grp").select("blob", "trusted")
+    return mine.mapInArrow(_counted, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
-    ``p`` is the interpolated probability of a seen n-gram g with context h = g div 64, ``back`` the weight that the
-    context gives to the next lower order (1 for an unseen context).  Orders below the highest count left neighbours.
+
+def smoothed(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """Modified Kneser-Ney by joins of count tables: for each order, from 1, (``a, b, p``) and (``a, b, back``).
+
+    ``p`` is the interpolated probability of a seen n-gram, ``back`` the weight that a seen context gives to the next
+    lower order.  Orders below the highest count left neighbours; below the first, all characters seen and one unseen
+    are equally likely.
     """
     raw, out = [counts], []
-    for k in range(ORDER - 1, 0, -1):
-        raw.insert(0, raw[0].select(F.expr(f"g % {CLASSES**k}").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")))
-    lower = None
-    for table in raw:
+    for order in range(ORDER - 1, 0, -1):
+        a, b = _suffix("a", "b", order)
+        raw.insert(0, written(raw[0].selectExpr(f"{a} AS a", f"{b} AS b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "kn-raw"))
+    kinds = raw[0].count() + 1
+    for order, table in enumerate(raw, 1):
         n = {r["n"]: r["c"] for r in table.where("n <= 4").groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
         n1, n2, n3, n4 = (float(n.get(i, 0)) for i in (1, 2, 3, 4))
         y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.0
         d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3] if n1 and n2 and n3 else [0.5, 0.75, 0.9]
         d1, d2, d3 = (min(max(x, 0.05), i - 0.05) for i, x in enumerate(d, 1))
-        table = table.withColumn("h", F.expr(f"g div {CLASSES}"))
-        context = table.groupBy("h").agg(
+        ha, hb = _context("a", "b")
+        table = table.selectExpr("a", "b", "n", f"{ha} AS ha", f"{hb} AS hb")
+        context = table.groupBy("ha", "hb").agg(
             F.sum("n").alias("total"),
             (F.expr(f"{d1} * count_if(n = 1) + {d2} * count_if(n = 2) + {d3} * count_if(n >= 3)") / F.sum("n")).alias("back"),
         )
-        joined = table.join(context, "h").withColumn("own", F.expr(f"(n - CASE n WHEN 1 THEN {d1} WHEN 2 THEN {d2} ELSE {d3} END) / total"))
-        if lower is None:
-            joined = joined.withColumn("p", F.col("own") + F.col("back") / CLASSES)
+        joined = table.join(context, ["ha", "hb"]).withColumn("own", F.expr(f"(n - CASE n WHEN 1 THEN {d1} WHEN 2 THEN {d2} ELSE {d3} END) / total"))
+        if order == 1:
+            joined = joined.withColumn("p", F.expr(f"own + back / {kinds}"))
         else:
-            suffix = CLASSES ** len(out)
-            joined = joined.join(lower.select(F.col("g").alias("s"), F.col("p").alias("q")), F.expr(f"g % {suffix}") == F.col("s"))
-            joined = joined.withColumn("p", F.col("own") + F.col("back") * F.col("q"))
-        lower = written(joined.select("g", "h", "p", "back"), "kn-order")
-        out.append(lower)
-    return tuple(out)
+            sa, sb = _suffix("a", "b", order - 1)
+            lower = out[-1][0].selectExpr("a AS sa", "b AS sb", "p AS q")
+            joined = joined.withColumn("sa", F.expr(sa)).withColumn("sb", F.expr(sb)).join(lower, ["sa", "sb"]).withColumn("p", F.expr("own + back * q"))
+        backs = context.selectExpr("ha AS a", "hb AS b", "back")
+        out.append((written(joined.select("a", "b", "p"), "kn-order"), written(backs, "kn-back")))
+    for table in raw[:-1]:
+        forget(table)
+    return out
 
 
-def bits_array(orders: tuple[DataFrame, ...]) -> np.ndarray:
-    """Bits of every possible n-gram, 64 ** ORDER half floats: the smoothed tables laid out densely.
+def bits_of(grams: DataFrame, orders: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """``a, b, bits`` of distinct n-grams (a, b): each order's tables are joined, and the highest order that saw it gives p."""
+    out = grams
+    for order in range(ORDER, 0, -1):
+        seen, backs = orders[order - 1]
+        a, b = _suffix("a", "b", order)
+        ha, hb = _context(a, b)
+        out = out.withColumn("x", F.expr(a)).withColumn("y", F.expr(b)).withColumn("hx", F.expr(ha)).withColumn("hy", F.expr(hb))
+        out = out.join(seen.selectExpr("a AS x", "b AS y", f"p AS p{order}"), ["x", "y"], "left")
+        out = out.join(backs.selectExpr("a AS hx", "b AS hy", f"back AS back{order}"), ["hx", "hy"], "left").drop("x", "y", "hx", "hy")
+    p = f"1D / {orders[0][0].count() + 1}"
+    for order in range(1, ORDER + 1):
+        p = f"coalesce(p{order}, coalesce(back{order}, 1D) * {p})"
+    return out.selectExpr("a", "b", f"cast(-log2(greatest({p}, 1e-300D)) AS float) AS bits")
 
-    Each table has at most 64 ** order rows by construction.  The array is filled a first character at a time, so the
-    driver holds little besides it.
-    """
-    def bits(p: np.ndarray) -> np.ndarray:
-        return -np.log2(np.maximum(p, 1e-12)).astype(np.float16)
-
-    p, out = np.full(1, 1 / CLASSES, np.float32), np.empty(CLASSES**ORDER, np.float16)
-    for k, table in enumerate(orders, 1):
-        rows = table.select("g", "h", F.col("p").cast("float"), F.col("back").cast("float")).toArrow()
-        g, h, q, b = (rows.column(c).to_numpy() for c in range(4))
-        back = np.ones(CLASSES ** (k - 1), np.float32)
-        back[h] = b
-        # An unseen n-gram falls back to its suffix, which drops the first character: the suffixes repeat in order.
-        below = p.reshape(-1, CLASSES) if k > 1 else np.full((1, CLASSES), p[0], np.float32)
-        if k < ORDER:
-            p = (back.reshape(-1, len(below), 1) * below).reshape(-1)
-            p[g] = q
-        else:
-            for c, part in enumerate(back.reshape(-1, len(below), 1)):
-                out[c * below.size : (c + 1) * below.size] = bits(part * below).reshape(-1)
-            out[g] = bits(q)
-    return out
 
+# ---- scores -----------------------------------------------------------------------------------------------------
 
-def with_bits(df: DataFrame, bits: np.ndarray, text: str = "text") -> DataFrame:
-    """``df`` with a struct column ``__lm`` (bits per character, characters)."""
-    shared = df.sparkSession.sparkContext.broadcast(bits)
-    kind = T.StructType([T.StructField("bits", T.DoubleType()), T.StructField("chars", T.LongType())])
 
-    def scored(texts):
-        g, n = grams(texts)
-        total = np.concatenate([[0.0], np.cumsum(shared.value[g], dtype=np.float64)])
-        ends = np.cumsum(n)
-        per = (total[ends] - total[ends - n]) / np.maximum(n, 1)
-        return [{"bits": b, "chars": c} for b, c in zip(per.tolist(), n.tolist())]
-
-    return df.withColumn("__lm", text_udf(kind, scored)(F.col(text)))
+def _asked(batches):
+    for batch in batches:
+        for grp, blob in zip(batch.column("grp"), batch.column("blob")):
+            _, a, b, _ = distinct_grams(_unpacked(blob).column("t").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), grp.as_py(), np.int64)), pa.array(np.arange(len(a), dtype=np.int32)), pa.array(a), pa.array(b)], ["grp", "i", "a", "b"])
+
+
+def sums(texts: list[str], answer) -> np.ndarray:
+    """The bits of each text; ``answer(digests)`` gives those of the sorted distinct n-grams of all of them."""
+    held, found = [], []
+    for owners, sizes, g, _, _ in slices(texts):
+        codes, u = pd.factorize(g)
+        held.append((owners, sizes, codes.astype(np.int32)))
+        found.append(u)
+    total = np.zeros(len(texts))
+    if found:
+        every = np.unique(np.concatenate(found))
+        bits = answer(every).astype(np.float64)
+        for (owners, sizes, codes), u in zip(held, found):
+            upto = np.concatenate([[0.0], np.cumsum(bits[np.searchsorted(every, u)][codes])])
+            ends = np.cumsum(sizes)
+            np.add.at(total, owners, upto[ends] - upto[ends - sizes])
+    return total
+
+
+def _scored(schema: pa.Schema):
+    def of(batches):
+        for batch in batches:
+            for blob, trusted, i, bits in zip(*(batch.column(c) for c in ("blob", "trusted", "i", "bits"))):
+                table = _unpacked(blob)
+                texts = table.column("t").to_pylist()
+                given = np.zeros(0 if i.values is None else len(i.values), np.float32)
+                if len(given):
+                    given[i.values.to_numpy()] = bits.values.to_numpy()
+                chars = np.array([len(t) for t in texts], np.int64)
+                per = sums(texts, lambda _: given) / np.maximum(chars, 1)
+                good = np.zeros(len(texts), bool)
+                good[trusted.as_py() or []] = True
+                row = table.column("row").cast(schema.field("row").type)
+                out = pa.Table.from_arrays([row, pa.chunked_array([per]), pa.chunked_array([chars]), pa.chunked_array([good])], schema=schema)
+                yield from out.to_batches(max_chunksize=1000)
+
+    return of
+
+
+def scores(df: DataFrame, trusted_ids: DataFrame, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """``row, bits, chars, trusted`` for each row of ``df``, written; ``row`` is a struct of the columns in ``keep``."""
+    groups = grouped(df, text, keep)
+    places = written(trusted_places(groups, trusted_ids), "kn-trusted")
+    counts = written(count_grams(groups, places), "kn-counts")
+    orders = smoothed(counts)
+    asked = groups.select("grp", "blob").mapInArrow(_asked, "grp bigint, i int, a bigint, b bigint")
+    bits = written(bits_of(asked.select("a", "b").distinct(), orders), "kn-bits")
+    answers = asked.join(bits.hint("merge"), ["a", "b"]).select("grp", F.struct("i", "bits").alias("x")).groupBy("grp").agg(F.collect_list("x").alias("x"))
+    answers = written(answers.selectExpr("grp", "x.i AS i", "x.bits AS bits"), "kn-answers")
+    whole = groups.select("grp", "blob").join(places.hint("merge"), "grp", "left").join(answers.hint("merge"), "grp", "left")
+    row = df.select(*(df.columns if keep is None else keep)).schema
+    kind = T.StructType([T.StructField("row", row), T.StructField("bits", T.DoubleType()), T.StructField("chars", T.LongType()), T.StructField("trusted", T.BooleanType())])
+    out = written(whole.select("blob", "trusted", "i", "bits").mapInArrow(_scored(to_arrow_schema(kind)), kind), "kn-scores")
+    for table in (groups, places, counts, bits, answers, *(t for pair in orders for t in pair)):
+        forget(table)
+    return out
 
 
-def quantiles(scores: DataFrame) -> dict:
-    """(median, high quantile) by lang from rows (lang, bits) of trusted documents; key "" holds those of all rows.
+def quantiles(rows: DataFrame) -> DataFrame:
+    """``key, median, high`` from rows (key, bits); the key null stands for all rows.
 
-    Bits are rounded to a thousandth and counted, so a language has at most 40 000 counts however many documents.
+    Bits are rounded to a thousandth and counted, so a key has at most some ten thousand counts however many rows.
     """
-    counts = scores.select(F.concat(F.lit("="), F.coalesce("lang", F.lit("\x00null"))).alias("lang"), F.expr("cast(round(bits * 1000) as bigint)").alias("b")).groupBy("lang", "b").count()
-    both = counts.unionByName(counts.select(F.lit("").alias("lang"), "b", "count"))
-    ranked = both.groupBy("lang", "b").agg(F.sum("count").alias("count")).selectExpr("lang", "b", "sum(count) OVER (PARTITION BY lang ORDER BY b) AS upto", "sum(count) OVER (PARTITION BY lang) AS n")
+    counts = rows.select("key", F.expr("cast(round(bits * 1000) as bigint)").alias("b")).groupBy("key", "b").count()
+    both = counts.unionByName(counts.groupBy("b").agg(F.sum("count").alias("count")).select(F.lit(None).cast("string").alias("key"), "b", "count"))
+    ranked = both.selectExpr("key", "b", "sum(count) OVER (PARTITION BY key ORDER BY b) AS upto", "sum(count) OVER (PARTITION BY key) AS n")
     at = lambda q: F.expr(f"min(CASE WHEN upto >= {q} * n THEN b END) / 1000")
-    return {r[0]: (r[1], r[2]) for r in ranked.groupBy("lang").agg(at(MEDIAN), at(HIGH)).collect()}
-
-
-def classify(df: DataFrame, trusted_ids: DataFrame, spread: float = SPREAD, into: str = "quality") -> DataFrame:
-    """``df`` (doc_id, text, lang, ...) with a struct column ``into``: bits, chars, judged, threshold, kept."""
-    trusted = trusted_ids.select("doc_id").where("doc_id IS NOT NULL")
-    # The ids grow with the input, so they are never broadcast; trusted text is dealt by doc_id, once.
-    counts = written(count_grams(df.select("doc_id", "text").join(trusted.hint("merge"), "doc_id", "left_semi")), "kn-counts")
-    release(df.sparkSession)
-    scored = with_bits(df, bits_array(smoothed(counts)))
-    fences = quantiles(scored.select("doc_id", "lang", F.col("__lm.bits").alias("bits"), F.col("__lm.chars").alias("chars")).where("chars > 0").join(trusted, "doc_id", "left_semi"))
-    median, high = fences.get("", (0.0, 1e9))
-    key = F.concat(F.lit("="), F.coalesce("lang", F.lit("\x00null")))
-    middle, limit = F.lit(float(median)), F.lit(float(median + max(MARGIN, spread * (high - median))))
-    for k, (m, h) in fences.items():
-        if k:
-            middle = F.when(key == k, F.lit(float(m))).otherwise(middle)
-            limit = F.when(key == k, F.lit(float(m + max(MARGIN, spread * (h - m))))).otherwise(limit)
-    judged = (F.col("__lm.bits") * F.col("__lm.chars") + middle * PRIOR) / (F.col("__lm.chars") + PRIOR)
-    return scored.withColumn(into, F.struct("__lm.bits", "__lm.chars", judged.alias("judged"), limit.alias("threshold"), (judged <= limit).alias("kept"))).drop("__lm")
+    return ranked.groupBy("key").agg(at(MEDIAN).alias("median"), at(HIGH).alias("high"))
+
+
+def classify(df: DataFrame, trusted_ids: DataFrame, spread: float = SPREAD, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """``row`` (a struct of the columns of ``df`` (doc_id, lang, text, ...) in ``keep``, lang among them, or all), ``bits,
+    chars, judged, threshold, kept`` for each row."""
+    scored = scores(df, trusted_ids, text, keep)
+    key = F.concat(F.lit("="), F.coalesce(F.col("row.lang"), F.lit("\x00null")))
+    fences = written(quantiles(scored.where("trusted AND chars > 0").select(key.alias("key"), "bits")), "kn-fences")
+    whole = fences.where("key IS NULL").first()
+    mine = fences.where("key IS NOT NULL").withColumnRenamed("key", "k")
+    mine = F.broadcast(mine) if fences.count() <= FEW_LANGUAGES else mine.hint("merge")
+    of_all = lambda c: F.lit(None if whole is None else whole[c]).cast("double")
+    out = scored.join(mine, key == mine["k"], "left").withColumn("m", F.coalesce("median", of_all("median"))).withColumn("h", F.coalesce("high", of_all("high")))
+    judged = F.expr(f"(bits * chars + coalesce(m, bits) * {PRIOR}) / (chars + {PRIOR})")
+    out = out.withColumn("judged", judged).withColumn("threshold", F.expr(f"m + greatest({MARGIN}D, {spread}D * (h - m))"))
+    return out.select("row", "bits", "chars", "judged", "threshold", F.expr("coalesce(judged <= threshold, true)").alias("kept"))
 
 
 def trusted_ids(spark, sf_dir: str) -> DataFrame:
@@ -213,5 +352,5 @@ def trusted_ids(spark, sf_dir: str) -> DataFrame:
 
 
 def query(spark, sf_dir):
-    out = classify(documents(spark, sf_dir).select("doc_id", "lang", "text"), trusted_ids(spark, sf_dir))
-    return out.select("doc_id", F.round("quality.bits", 6).alias("bits"), "quality.chars", F.round("quality.judged", 6).alias("judged"), "quality.threshold", "quality.kept")
+    out = classify(documents(spark, sf_dir).select("doc_id", "lang", "text"), trusted_ids(spark, sf_dir), keep=("doc_id", "lang"))
+    return out.select("row.doc_id", F.round("bits", 6).alias("bits"), "chars", F.round("judged", 6).alias("judged"), "threshold", "kept")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, forget, release, written
+from .common import documents, forget, written
 
 WINDOW = 35
 ANCHOR = 8
@@ -228,16 +228,13 @@ def repeated_ranges(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -
     found = written(found.select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), "spots"), "anchor-spots")
     forget(occ)
     forget(twice)
-    release(spark)
     texts = docs.join(found, (docs.doc_id == found.d2) & (docs.th == found.t2)).select("doc_id", "th", "text", "spots")
     cut = texts.mapInPandas(_stretches(window), "a bigint, stretch binary, doc_id bigint, th int, first int").withColumn("sh", F.xxhash64("stretch"))
     cut = written(cut, "stretches")
     forget(found)
-    release(spark)
     distinct = written(cut.groupBy("a", "sh", "stretch").agg(F.count(F.lit(1)).alias("n")), "distinct-stretches")
     slim = written(cut.select("a", "sh", "doc_id", "th", "first"), "places")
     forget(cut)
-    release(spark)
     many = written(distinct.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT_STRETCHES).select("a", F.expr(f"cast(ceil({window - anchor + 1} * c / {HOT_STRETCHES}) as int)").alias("salts")), "hot-anchors")
     few = F.broadcast(many) if many.count() <= HOT_BROADCAST else many.hint("merge")
     columns = ["a", "sh", "stretch", "n", "salt", "salts"]
@@ -246,13 +243,11 @@ def repeated_ranges(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -
     place = lambda rows: rows.sortWithinPartitions("a", "salt").mapInPandas(_located(window), "a bigint, sh bigint, ranges array<int>")
     covers = written(place(cold.unionAll(hot).repartition("a", "salt")), "covers")
     forget(distinct)
-    release(spark)
     where = slim.join(covers, ["a", "sh"])
     ranges = where.groupBy("doc_id", "th").agg(F.flatten(F.collect_set(F.expr("transform(ranges, x -> x + first)"))).alias("ranges"))
     out = written(ranges, "ranges")
     for table in (slim, many, covers):
         forget(table)
-    release(spark)
     return out
 
 

@@ -266,74 +266,6 @@ def test_components_of_paths_and_stars(spark):
     assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
-# ---- 6 ----------------------------------------------------------------------------------------------------------
-
-
-def _kneser_ney(texts):
-    """Interpolated modified Kneser-Ney over class strings, with dictionaries."""
-    from collections import Counter
-
-    kn = kn_quality
-    g = kn.grams(texts)[0]
-    n, a = kn.ORDER, kn.CLASSES
-    counts = [None, *[None] * n]
-    counts[n] = Counter(g.tolist())
-    for k in range(n - 1, 0, -1):
-        counts[k] = Counter(x % a**k for x in counts[k + 1])
-
-    def discounts(c):
-        of = Counter(c.values())
-        n1, n2, n3, n4 = (of.get(i, 0) for i in (1, 2, 3, 4))
-        if not (n1 and n2 and n3):
-            y = [0.5, 0.75, 0.9]
-        else:
-            q = n1 / (n1 + 2 * n2)
-            y = [1 - 2 * q * n2 / n1, 2 - 3 * q * n3 / n2, 3 - 4 * q * n4 / n3]
-        return [min(max(x, 0.05), i - 0.05) for i, x in enumerate(y, 1)]
-
-    d = {k: discounts(counts[k]) for k in range(1, n + 1)}
-    total, kinds = {}, {}
-    for k in range(1, n + 1):
-        for x, c in counts[k].items():
-            total[k, x // a] = total.get((k, x // a), 0) + c
-            kinds.setdefault((k, x // a), [0, 0, 0])[min(c, 3) - 1] += 1
-
-    def p(k, x):
-        if k == 0:
-            return 1 / a
-        low = p(k - 1, x % a ** (k - 1))
-        if (k, x // a) not in total:
-            return low
-        c, t = counts[k].get(x, 0), total[k, x // a]
-        back = sum(u * v for u, v in zip(kinds[k, x // a], d[k])) / t
-        return (c - d[k][min(c, 3) - 1] if c else 0) / t + back * low
-
-    return lambda x: p(n, x)
-
-
-def test_kneser_ney_against_dictionaries(spark):
-    rng = random.Random(7)
-    texts = [prose(rng, 60) + " Straße, 12 (é)!" for _ in range(12)]
-    counts = common.written(kn_quality.count_grams(docs(spark, texts)), "t")
-    bits = kn_quality.bits_array(kn_quality.smoothed(counts))
-    p = _kneser_ney(texts)
-    probe = kn_quality.grams(["the sun Zebra 99 ## alpha", "x"])[0].tolist() + [rng.randrange(64**4) for _ in range(200)]
-    for g in probe:
-        assert float(bits[g]) == pytest.approx(-np.log2(max(p(g), 1e-12)), rel=4e-3, abs=0.02)
-    ctx = probe[0] // 64
-    assert sum(2.0 ** -float(x) for x in bits[ctx * 64 : ctx * 64 + 64]) == pytest.approx(1, abs=0.02)
-
-
-def test_junk_is_rejected_and_clean_text_kept(spark):
-    rng = random.Random(8)
-    clean = [prose(rng, 80) for _ in range(60)]
-    junk = ["".join(rng.choice("#$%&*!QXZ") for _ in range(400)) for _ in range(5)]
-    df = docs(spark, [*clean, *junk, "", None])
-    trusted = spark.createDataFrame([(i,) for i in range(40)], "doc_id bigint")
-    kept = {r.doc_id: r.quality.kept for r in kn_quality.classify(df, trusted).collect()}
-    assert [kept[i] for i in range(67)] == [True] * 60 + [False] * 5 + [True] * 2
-
-
 # ---- 7 ----------------------------------------------------------------------------------------------------------
 
 

@@ -43,6 +43,13 @@ def text_udf(kind, values, rows: int = 128):
     return run
 
 
+def repeated(df: DataFrame, times: str, into: str, chunk: int = 10_000) -> DataFrame:
+    """Each row of ``df`` as often as the SQL ``times`` says, numbered from 1 in ``into``; never a long list in one row."""
+    parts = df.withColumn("__part", F.explode(F.expr(f"sequence(0L, (cast({times} as bigint) - 1) div {chunk})")))
+    each = F.expr(f"sequence(__part * {chunk} + 1, least(cast({times} as bigint), (__part + 1) * {chunk}))")
+    return parts.withColumn(into, F.explode(each)).drop("__part")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -46,7 +46,7 @@ PRIOR = 100
 GROUP_CHARS = 32 << 20
 SLICE = 1 << 20
 FEW_LANGUAGES = 100_000  # fences of so many languages are broadcast; more of them are joined by a shuffle
-_ROWS = 128
+_ROWS = 512
 _PAD = " " * (ORDER - 1)
 #: Odd multipliers: an n-gram's digest within its group is a sum over its code points.
 _MULTIPLIERS = np.random.default_rng(5).integers(1 << 62, 1 << 64, ORDER, dtype=np.uint64) | np.uint64(1)
@@ -82,8 +82,11 @@ def _suffix(a: str, b: str, order: int) -> tuple[str, str]:
 # ---- n-grams of texts -------------------------------------------------------------------------------------------
 
 
-def slices(texts: list[str]):
-    """(owners, n-grams of each part, digests of the n-grams, their first places, code points) of a few texts at a time."""
+def slices(texts):
+    """(owners, n-grams of each part, digests of the n-grams, their first places, code points) of a few texts at a time.
+
+    ``texts``: any iterable; owners are places in it.
+    """
 
     def made(owners: list[int], parts: list[str]):
         sizes = np.array([len(p) - ORDER + 1 for p in parts], np.int64)
@@ -118,19 +121,23 @@ def _keys(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return c[0] << 21 | c[1], c[2] << 42 | c[3] << 21 | c[4]
 
 
-def distinct_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def distinct_grams(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(digest, a, b, occurrences) of each n-gram of the texts, sorted by digest."""
-    found = []
+    held = [(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)]
+
+    def merged():
+        g, a, b, n = (np.concatenate(x) for x in zip(*held))
+        u, first, codes = np.unique(g, return_index=True, return_inverse=True)
+        return u, a[first], b[first], np.bincount(codes, n, len(u)).astype(np.int64)
+
     for _, _, g, places, s in slices(texts):
         codes, u = pd.factorize(g)
         first = np.empty(len(u), np.int64)
         first[codes[::-1]] = places[::-1]
-        found.append((u, *_keys(s, first), np.bincount(codes, minlength=len(u))))
-    if not found:
-        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
-    g, a, b, n = (np.concatenate(x) for x in zip(*found))
-    u, first, codes = np.unique(g, return_index=True, return_inverse=True)
-    return u, a[first], b[first], np.bincount(codes, n, len(u)).astype(np.int64)
+        held.append((u, *_keys(s, first), np.bincount(codes, minlength=len(u))))
+        if len(held) > 8:
+            held = [merged()]
+    return merged()
 
 
 # ---- groups of rows ---------------------------------------------------------------------------------------------
@@ -143,7 +150,7 @@ def _packed(batches):
 
     def group() -> pa.RecordBatch:
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
             for part in held:
                 out.write_batch(part)
         lists = pa.array([pa.concat_arrays(ids)], pa.list_(ids[0].type))
@@ -171,8 +178,14 @@ def grouped(df: DataFrame, text: str = "text", keep: tuple[str, ...] | None = No
     return bucketed(rows.mapInArrow(_packed, kind), "grp", "kn-groups")
 
 
-def _unpacked(blob) -> pa.Table:
-    return pa.ipc.open_stream(pa.py_buffer(blob.as_py())).read_all()
+def _parts(blob):
+    """The record batches of a group, one at a time."""
+    return pa.ipc.open_stream(pa.py_buffer(blob.as_buffer()))
+
+
+def _texts(blob):
+    for part in _parts(blob):
+        yield from part.column("t").to_pylist()
 
 
 def trusted_places(groups: DataFrame, trusted_ids: DataFrame) -> DataFrame:
@@ -187,8 +200,8 @@ def trusted_places(groups: DataFrame, trusted_ids: DataFrame) -> DataFrame:
 def _counted(batches):
     for batch in batches:
         for blob, places in zip(batch.column("blob"), batch.column("trusted")):
-            texts = _unpacked(blob).column("t").take(pa.array(places.as_py(), pa.int64())).to_pylist()
-            _, a, b, n = distinct_grams(texts)
+            mine = set(places.as_py())
+            _, a, b, n = distinct_grams(t for i, t in enumerate(_texts(blob)) if i in mine)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], ["a", "b", "n"])
 
 
@@ -258,44 +271,46 @@ def bits_of(grams: DataFrame, orders: list[tuple[DataFrame, DataFrame]]) -> Data
 def _asked(batches):
     for batch in batches:
         for grp, blob in zip(batch.column("grp"), batch.column("blob")):
-            _, a, b, _ = distinct_grams(_unpacked(blob).column("t").to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), grp.as_py(), np.int64)), pa.array(np.arange(len(a), dtype=np.int32)), pa.array(a), pa.array(b)], ["grp", "i", "a", "b"])
+            _, a, b, _ = distinct_grams(_texts(blob))
+            # Neighbours in the order of the keys compress well.
+            i = np.lexsort((b, a))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), grp.as_py(), np.int64)), pa.array(i.astype(np.int32)), pa.array(a[i]), pa.array(b[i])], ["grp", "i", "a", "b"])
 
 
-def sums(texts: list[str], answer) -> np.ndarray:
-    """The bits of each text; ``answer(digests)`` gives those of the sorted distinct n-grams of all of them."""
-    held, found = [], []
-    for owners, sizes, g, _, _ in slices(texts):
+def sums(texts, answer) -> dict[int, float]:
+    """The bits of each text that has any; ``answer(digests)`` gives those of the sorted distinct n-grams of all of them.
+
+    ``texts()``: an iterator over the texts; it is gone through twice, so that no more than a slice is held.
+    """
+    every, total = np.zeros(0, np.uint64), {}
+    for _, _, g, _, _ in slices(texts()):
+        every = np.union1d(every, pd.unique(g))
+    bits = answer(every).astype(np.float64)
+    for owners, sizes, g, _, _ in slices(texts()):
         codes, u = pd.factorize(g)
-        held.append((owners, sizes, codes.astype(np.int32)))
-        found.append(u)
-    total = np.zeros(len(texts))
-    if found:
-        every = np.unique(np.concatenate(found))
-        bits = answer(every).astype(np.float64)
-        for (owners, sizes, codes), u in zip(held, found):
-            upto = np.concatenate([[0.0], np.cumsum(bits[np.searchsorted(every, u)][codes])])
-            ends = np.cumsum(sizes)
-            np.add.at(total, owners, upto[ends] - upto[ends - sizes])
+        upto = np.concatenate([[0.0], np.cumsum(bits[np.searchsorted(every, u)][codes])])
+        ends = np.cumsum(sizes)
+        for i, x in zip(owners, (upto[ends] - upto[ends - sizes]).tolist()):
+            total[i] = total.get(i, 0.0) + x
     return total
 
 
 def _scored(schema: pa.Schema):
     def of(batches):
         for batch in batches:
-            for blob, trusted, i, bits in zip(*(batch.column(c) for c in ("blob", "trusted", "i", "bits"))):
-                table = _unpacked(blob)
-                texts = table.column("t").to_pylist()
-                given = np.zeros(0 if i.values is None else len(i.values), np.float32)
+            for blob, trusted, answers in zip(*(batch.column(c) for c in ("blob", "trusted", "x"))):
+                found = answers.values
+                given = np.zeros(0 if found is None else len(found), np.float32)
                 if len(given):
-                    given[i.values.to_numpy()] = bits.values.to_numpy()
-                chars = np.array([len(t) for t in texts], np.int64)
-                per = sums(texts, lambda _: given) / np.maximum(chars, 1)
-                good = np.zeros(len(texts), bool)
-                good[trusted.as_py() or []] = True
-                row = table.column("row").cast(schema.field("row").type)
-                out = pa.Table.from_arrays([row, pa.chunked_array([per]), pa.chunked_array([chars]), pa.chunked_array([good])], schema=schema)
-                yield from out.to_batches(max_chunksize=1000)
+                    given[found.field("i").to_numpy()] = found.field("bits").to_numpy()
+                total, good, at = sums(lambda b=blob: _texts(b), lambda _, g=given: g), set(trusted.as_py() or []), 0
+                for part in _parts(blob):
+                    n = part.num_rows
+                    chars = np.array([len(t) for t in part.column("t").to_pylist()], np.int64)
+                    per = np.array([total.get(at + i, 0.0) for i in range(n)]) / np.maximum(chars, 1)
+                    row = part.column("row").cast(schema.field("row").type)
+                    yield pa.RecordBatch.from_arrays([row, pa.array(per), pa.array(chars), pa.array([at + i in good for i in range(n)], pa.bool_())], schema=schema)
+                    at += n
 
     return of
 
@@ -306,15 +321,15 @@ def scores(df: DataFrame, trusted_ids: DataFrame, text: str = "text", keep: tupl
     places = written(trusted_places(groups, trusted_ids), "kn-trusted")
     counts = written(count_grams(groups, places), "kn-counts")
     orders = smoothed(counts)
+    forget(counts)
     asked = groups.select("grp", "blob").mapInArrow(_asked, "grp bigint, i int, a bigint, b bigint")
     bits = written(bits_of(asked.select("a", "b").distinct(), orders), "kn-bits")
     answers = asked.join(bits.hint("merge"), ["a", "b"]).select("grp", F.struct("i", "bits").alias("x")).groupBy("grp").agg(F.collect_list("x").alias("x"))
-    answers = written(answers.selectExpr("grp", "x.i AS i", "x.bits AS bits"), "kn-answers")
     whole = groups.select("grp", "blob").join(places.hint("merge"), "grp", "left").join(answers.hint("merge"), "grp", "left")
     row = df.select(*(df.columns if keep is None else keep)).schema
     kind = T.StructType([T.StructField("row", row), T.StructField("bits", T.DoubleType()), T.StructField("chars", T.LongType()), T.StructField("trusted", T.BooleanType())])
-    out = written(whole.select("blob", "trusted", "i", "bits").mapInArrow(_scored(to_arrow_schema(kind)), kind), "kn-scores")
-    for table in (groups, places, counts, bits, answers, *(t for pair in orders for t in pair)):
+    out = written(whole.select("blob", "trusted", "x").mapInArrow(_scored(to_arrow_schema(kind)), kind), "kn-scores")
+    for table in (groups, places, bits, *(t for pair in orders for t in pair)):
         forget(table)
     return out
 

@@ -187,13 +187,17 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, text: str = "text") -> DataFrame:
-    """``doc_id, fp, component_id`` for each row of ``df`` (doc_id, text); component_id is the smallest doc_id reachable."""
-    rows = written(df.select("doc_id", fingerprint_column(F.col(text)).alias("fp")), "simhash")
+    """``doc_id, fp, th, root, component_id`` for each row of ``df`` (doc_id, text).
+
+    component_id is the smallest doc_id reachable, root a fingerprint that names the component where ids are null too, th
+    a 64-bit digest of the text, which with doc_id tells rows apart.
+    """
+    rows = written(df.select("doc_id", fingerprint_column(F.col(text)).alias("fp"), F.xxhash64(text).alias("th")), "simhash")
     fps = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     comp = components(links(fps.select("fp")))
     roots = fps.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = roots.select("fp", "root").join(roots.groupBy("root").agg(F.min("first").alias("component_id")), "root").drop("root")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = roots.select("fp", "root").join(roots.groupBy("root").agg(F.min("first").alias("component_id")), "root")
+    return rows.join(named, "fp").select("doc_id", "fp", "th", "root", "component_id")
 
 
 def query(spark, sf_dir):

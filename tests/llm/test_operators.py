@@ -346,6 +346,26 @@ def test_packing_is_whole_and_tight(spark):
         assert {c for _, _, c in parts} == {min(c for c in best_fit.CAPACITIES if c >= used)}
 
 
+def test_lengths_are_optimised_jointly():
+    """The result is the least cost over every set of lengths that bins may be opened at, by a plain best fit."""
+    def plain(sizes, opened, capacities):
+        bins = []
+        for x in sorted(sizes, reverse=True):
+            fits = [b for b in bins if b[0] - sum(b[1]) >= x]
+            if fits:
+                min(fits, key=lambda b: b[0] - sum(b[1]))[1].append(x)
+            else:
+                bins.append((min(c for c in opened if c >= x), [x]))
+        return sum(best_fit.cost(min(c for c in capacities if c >= sum(b[1]))) for b in bins)
+
+    rng = random.Random(31)
+    for top in (40, 200, 256):
+        sizes, caps = [rng.randint(1, top) for _ in range(120)], (32, 64, 128, 256)
+        sets = [(*x, 256) for k in range(4) for x in itertools.combinations(caps[:-1], k)]
+        got = sum(map(best_fit.cost, best_fit.pack(sizes, caps)[2]))
+        assert got == pytest.approx(min(plain(sizes, x, caps) for x in sets))
+
+
 def test_packing_takes_the_best_room():
     bins, offsets, final = best_fit.pack([4096, 3000, 1000, 900, 96, 100], (256, 4096))
     assert bins[2] == bins[1] and final[bins[0]] == 4096 and len(set(bins)) == len(final)
@@ -425,9 +445,34 @@ def test_stages_on_odd_tables(spark, tmp_path, empty):
             assert out.count() >= df.count()
         else:
             assert out.columns == df.columns and out.count() <= 3 * df.count()
-        if name == "near_duplicates" and not empty:
-            kept = [r.doc_id for r in out.collect() if r.doc_id is not None]
-            assert len(kept) == len(set(kept)) < df.count()
+        if name == "near_duplicates":
+            texts = [r.text for r in df.collect()]
+            roots = _classes([_fingerprint(t) for t in texts])
+            assert out.count() == len(set(roots))
+
+
+def test_texts_that_share_an_id_are_judged_apart(spark):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    a, b, c = (prose(rng, 200) for _ in range(3))
+    rows = [(3, a), (7, a), (7, b), (9, b), (None, c), (None, c), (None, a), (4, prose(rng, 200))]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOC)
+    out = corpus_pipeline.near_duplicates(spark, df, "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in out) == sorted([(3, a), (7, b), (0, c), rows[-1]])
+
+
+@pytest.mark.parametrize("ids", ["null", "equal"])
+def test_many_equal_rows_and_null_ids_are_spread(spark, ids):
+    """Packing and mixing of rows that share identity: no shard or bucket takes them all, and nothing is lost."""
+    n = 60_000
+    df = spark.range(n).selectExpr("cast(null as bigint) AS doc_id" if ids == "null" else "5L AS doc_id", "'a b c' AS text" if ids == "equal" else "repeat('a b ', cast(1 + id % 9 as int)) AS text", "'s' AS source")
+    packed = best_fit.best_fit(df, fair_mix.SIZE, shard_rows=10_000)
+    shards = {r[0]: r[1] for r in packed.groupBy(F.expr("bin_id div 4294967296")).count().collect()}
+    assert len(shards) >= 6 and sum(shards.values()) == n and max(shards.values()) < 15_000
+    mixed = fair_mix.fair_mix(df, fair_mix.SIZE)
+    total, taken = mixed.agg(F.sum("size"), F.sum("taken")).first()
+    assert mixed.count() == n and total == taken
 
 
 @pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are not here")

@@ -1,31 +1,37 @@
 """A training corpus from ``documents``: quality, near-duplicates, secrets, source mix, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
-of ``documents``.  The mix repeats a document's row as often as it holds it.  Rows with a null doc_id are never dropped
-as near-duplicates, since no row can stand for them by name.  Empty input gives empty output in every stage.
+of ``documents``.  Rows are told apart by doc_id and digests of their contents, so different texts under one doc_id, or
+under none, are judged each by itself.  Equal rows count as copies of each other.  The mix repeats a document's row as
+often as it holds it.  Empty input gives empty output in every stage.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ledgerloom.llm import best_fit, fair_mix, kn_quality, secret_links, simhash_ring
-from ledgerloom.llm.common import documents, written
+from ledgerloom.llm.common import documents, repeated, written
+
+
+def _keyed(docs: DataFrame, *digested: str) -> DataFrame:
+    """``key, row``: the row, and a struct of doc_id and a digest of the columns named."""
+    return docs.select(F.struct("doc_id", F.xxhash64(*digested).alias("th")).alias("key"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity passes their language's fence."""
-    return kn_quality.classify(docs, kn_quality.trusted_ids(spark, sf_dir), into="__quality").where("__quality.kept").select(docs.columns)
+    return kn_quality.classify(docs, kn_quality.trusted_ids(spark, sf_dir)).where("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each near-duplicate group; of rows that share that doc_id, one."""
-    gone = simhash_ring.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
-    once = left.withColumn("__n", F.row_number().over(W.partitionBy("doc_id").orderBy("n_chars", "text")))
-    return once.where("__n = 1 OR doc_id IS NULL").select(docs.columns)
+    """One row of each near-duplicate group: the least by doc_id (null last), then by the text's digest."""
+    found = simhash_ring.near_duplicates(docs)
+    least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("m"))
+    stays = least.select(F.struct("m.doc_id", "m.th").alias("key"))
+    once = _keyed(docs, "text").groupBy("key").agg(F.first("row").alias("row"))
+    return once.join(stays.hint("merge"), "key", "left_semi").select("row.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,15 +40,12 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the weighted mix of sources holds it."""
-    keyed = docs.withColumn("__h", F.xxhash64("text", "source"))
-    taken = fair_mix.fair_mix(keyed, fair_mix.SIZE, keep=("__h",)).groupBy("doc_id", F.col("row.__h").alias("__h2"))
-    taken = taken.agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows")).where("__copies > 0").withColumnRenamed("doc_id", "__d")
-    joined = keyed.join(taken.hint("merge"), keyed["doc_id"].eqNullSafe(taken["__d"]) & (keyed["__h"] == taken["__h2"]))
-    # Rows that are equal in doc_id, text and source share their copies.
-    joined = joined.withColumn("__n", F.row_number().over(W.partitionBy("doc_id", "__h").orderBy("lang", "n_chars")))
-    times = F.expr("cast(__copies div __rows + CASE WHEN __n <= __copies % __rows THEN 1 ELSE 0 END as int)")
-    return joined.withColumn("__times", times).where("__times > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(docs.columns)
+    """Each document as often as the weighted mix of sources holds it; equal rows add up."""
+    keyed = _keyed(docs, *docs.columns)
+    sized = keyed.select("key", "row.doc_id", "row.source", "row.text")
+    taken = fair_mix.fair_mix(sized, fair_mix.SIZE, keep=("key",)).groupBy("row.key").agg(F.sum("copies").alias("copies")).where("copies > 0")
+    once = keyed.groupBy("key").agg(F.first("row").alias("row"))
+    return repeated(once.join(taken.hint("merge"), "key"), "copies", "i").select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,8 +6,10 @@ import contextlib
 import uuid
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ledgerloom.functions.stages import shared_dir
@@ -55,29 +57,36 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @contextlib.contextmanager
-def _shuffles_dropped(spark: SparkSession):
-    """What is run inside drops its shuffle files when it ends; nothing reads them once its table is written."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+def _writing(spark: SparkSession, batch_rows: int | None):
+    """What is run inside drops its shuffle files when it ends, as nothing reads them once its table is written.
+
+    ``batch_rows``: rows that Python workers are given at a time, where rows are large.
+    """
+    settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    if batch_rows:
+        settings["spark.sql.execution.arrow.maxRecordsPerBatch"] = str(batch_rows)
+    before = {k: spark.conf.get(k) for k in settings}
     try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """``df`` as a table written in the shared folder: it cuts lineage and survives the loss of executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    with _shuffles_dropped(spark):
+    with _writing(spark, batch_rows):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
 
 
-def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+def bucketed(df: DataFrame, key: str, name: str, batch_rows: int | None = None) -> DataFrame:
     """``written``, dealt to files by ``key``: joins on it move the other side alone.
 
     There are as many buckets as shuffles have partitions.  Tasks write their own rows, without a shuffle.  The catalogue holds the table only until it is read.
@@ -86,7 +95,7 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     name = f"{name}-{uuid.uuid4().hex}".replace("-", "_")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = f"{shared_dir(spark).rstrip('/')}/{name}"
-    with _shuffles_dropped(spark):
+    with _writing(spark, batch_rows):
         df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(name)
     out = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
@@ -94,6 +103,63 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     return out
 
 
+_GROUP_ROWS = 512
+
+
+def _packed(chars: int, prepare):
+    def of(batches):
+        """Rows (row, id, t) to groups: (grp, ids, blob), blob an Arrow stream of (row, t)."""
+        task, number = TaskContext.get().partitionId() << 24, 0
+        ids, held, size = [], [], 0
+
+        def group() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
+                for part in held:
+                    out.write_batch(part)
+            lists = pa.array([pa.concat_arrays(ids)], pa.list_(ids[0].type))
+            return pa.RecordBatch.from_arrays([pa.array([task + number], pa.int64()), lists, pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["grp", "ids", "blob"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, _GROUP_ROWS):
+                part = batch.slice(at, _GROUP_ROWS)
+                texts = part.column("t").cast(pa.string())
+                if prepare is not None:
+                    texts = pa.array([prepare(t) for t in texts.to_pylist()], pa.string())
+                ids.append(part.column("id"))
+                held.append(pa.RecordBatch.from_arrays([part.column("row"), texts], ["row", "t"]))
+                size += texts.nbytes
+                if size >= chars:
+                    yield group()
+                    ids, held, size, number = [], [], 0, number + 1
+        if held:
+            yield group()
+
+    return of
+
+
+def packed_groups(df: DataFrame, text: str, keep: tuple[str, ...] | None, chars: int, name: str, prepare=None) -> DataFrame:
+    """``grp, ids, blob``: the rows of ``df`` (doc_id, ...) in groups of about ``chars`` characters, a compressed row each,
+    bucketed by group.  A task packs what it reads, without a shuffle, and later joins by group move no text.
+
+    ``keep``: the columns that ``blob`` holds besides the texts, all if None; ``prepare``: what is done to each text.
+    """
+    row = F.struct(*[df[c] for c in (df.columns if keep is None else keep)])
+    rows = df.select(row.alias("row"), F.col("doc_id").alias("id"), F.col(text).alias("t"))
+    kind = T.StructType([T.StructField("grp", T.LongType()), T.StructField("ids", T.ArrayType(df.schema["doc_id"].dataType)), T.StructField("blob", T.BinaryType())])
+    return bucketed(rows.mapInArrow(_packed(chars, prepare), kind), "grp", name, batch_rows=1000)
+
+
+def group_parts(blob: pa.Scalar):
+    """The record batches (row, t) of a group, one at a time."""
+    return pa.ipc.open_stream(pa.py_buffer(blob.as_buffer()))
+
+
+def group_texts(blob: pa.Scalar):
+    for part in group_parts(blob):
+        yield from part.column("t").to_pylist()
+
+
 def forget(df: DataFrame) -> None:
     """Deletes what ``written`` wrote; for tables that nothing reads any more."""
     spark = df.sparkSession

@@ -30,13 +30,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import bucketed, documents, forget, written
+from .common import documents, forget, group_parts, group_texts, packed_groups, written
 
 ORDER = 5
 SPREAD = 3.0
@@ -44,9 +43,8 @@ MARGIN = 0.3  # bits a character
 MEDIAN, HIGH = 0.5, 0.95
 PRIOR = 100
 GROUP_CHARS = 32 << 20
-SLICE = 1 << 20
+SLICE = 1 << 19
 FEW_LANGUAGES = 100_000  # fences of so many languages are broadcast; more of them are joined by a shuffle
-_ROWS = 512
 _PAD = " " * (ORDER - 1)
 #: Odd multipliers: an n-gram's digest within its group is a sum over its code points.
 _MULTIPLIERS = np.random.default_rng(5).integers(1 << 62, 1 << 64, ORDER, dtype=np.uint64) | np.uint64(1)
@@ -135,7 +133,7 @@ def distinct_grams(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
         first = np.empty(len(u), np.int64)
         first[codes[::-1]] = places[::-1]
         held.append((u, *_keys(s, first), np.bincount(codes, minlength=len(u))))
-        if len(held) > 8:
+        if len(held) > 6:
             held = [merged()]
     return merged()
 
@@ -143,49 +141,9 @@ def distinct_grams(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 # ---- groups of rows ---------------------------------------------------------------------------------------------
 
 
-def _packed(batches):
-    """Rows (row, id, t) to groups: (grp, ids, blob), blob an Arrow stream of (row, clean text)."""
-    task, number = TaskContext.get().partitionId() << 24, 0
-    ids, held, size = [], [], 0
-
-    def group() -> pa.RecordBatch:
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
-            for part in held:
-                out.write_batch(part)
-        lists = pa.array([pa.concat_arrays(ids)], pa.list_(ids[0].type))
-        return pa.RecordBatch.from_arrays([pa.array([task + number], pa.int64()), lists, pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["grp", "ids", "blob"])
-
-    for batch in batches:
-        for at in range(0, batch.num_rows, _ROWS):
-            part = batch.slice(at, _ROWS)
-            texts = pa.array([clean(t) for t in part.column("t").to_pylist()], pa.string())
-            ids.append(part.column("id"))
-            held.append(pa.RecordBatch.from_arrays([part.column("row"), texts], ["row", "t"]))
-            size += texts.nbytes
-            if size >= GROUP_CHARS:
-                yield group()
-                ids, held, size, number = [], [], 0, number + 1
-    if held:
-        yield group()
-
-
 def grouped(df: DataFrame, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
-    """``grp, ids, blob``: the rows of ``df`` (doc_id, ...), packed; ``keep``: the columns that come back, all if None."""
-    row = F.struct(*[df[c] for c in (df.columns if keep is None else keep)])
-    rows = df.select(row.alias("row"), F.col("doc_id").alias("id"), F.col(text).alias("t"))
-    kind = T.StructType([T.StructField("grp", T.LongType()), T.StructField("ids", T.ArrayType(df.schema["doc_id"].dataType)), T.StructField("blob", T.BinaryType())])
-    return bucketed(rows.mapInArrow(_packed, kind), "grp", "kn-groups")
-
-
-def _parts(blob):
-    """The record batches of a group, one at a time."""
-    return pa.ipc.open_stream(pa.py_buffer(blob.as_buffer()))
-
-
-def _texts(blob):
-    for part in _parts(blob):
-        yield from part.column("t").to_pylist()
+    """``grp, ids, blob``: the rows of ``df`` (doc_id, ...) with clean texts; ``keep``: the columns that come back, all if None."""
+    return packed_groups(df, text, keep, GROUP_CHARS, "kn-groups", clean)
 
 
 def trusted_places(groups: DataFrame, trusted_ids: DataFrame) -> DataFrame:
@@ -201,7 +159,7 @@ def _counted(batches):
     for batch in batches:
         for blob, places in zip(batch.column("blob"), batch.column("trusted")):
             mine = set(places.as_py())
-            _, a, b, n = distinct_grams(t for i, t in enumerate(_texts(blob)) if i in mine)
+            _, a, b, n = distinct_grams(t for i, t in enumerate(group_texts(blob)) if i in mine)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], ["a", "b", "n"])
 
 
@@ -271,7 +229,7 @@ def bits_of(grams: DataFrame, orders: list[tuple[DataFrame, DataFrame]]) -> Data
 def _asked(batches):
     for batch in batches:
         for grp, blob in zip(batch.column("grp"), batch.column("blob")):
-            _, a, b, _ = distinct_grams(_texts(blob))
+            _, a, b, _ = distinct_grams(group_texts(blob))
             # Neighbours in the order of the keys compress well.
             i = np.lexsort((b, a))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), grp.as_py(), np.int64)), pa.array(i.astype(np.int32)), pa.array(a[i]), pa.array(b[i])], ["grp", "i", "a", "b"])
@@ -303,8 +261,8 @@ def _scored(schema: pa.Schema):
                 given = np.zeros(0 if found is None else len(found), np.float32)
                 if len(given):
                     given[found.field("i").to_numpy()] = found.field("bits").to_numpy()
-                total, good, at = sums(lambda b=blob: _texts(b), lambda _, g=given: g), set(trusted.as_py() or []), 0
-                for part in _parts(blob):
+                total, good, at = sums(lambda b=blob: group_texts(b), lambda _, g=given: g), set(trusted.as_py() or []), 0
+                for part in group_parts(blob):
                     n = part.num_rows
                     chars = np.array([len(t) for t in part.column("t").to_pylist()], np.int64)
                     per = np.array([total.get(at + i, 0.0) for i in range(n)]) / np.maximum(chars, 1)
@@ -328,7 +286,7 @@ def scores(df: DataFrame, trusted_ids: DataFrame, text: str = "text", keep: tupl
     whole = groups.select("grp", "blob").join(places.hint("merge"), "grp", "left").join(answers.hint("merge"), "grp", "left")
     row = df.select(*(df.columns if keep is None else keep)).schema
     kind = T.StructType([T.StructField("row", row), T.StructField("bits", T.DoubleType()), T.StructField("chars", T.LongType()), T.StructField("trusted", T.BooleanType())])
-    out = written(whole.select("blob", "trusted", "x").mapInArrow(_scored(to_arrow_schema(kind)), kind), "kn-scores")
+    out = written(whole.select("blob", "trusted", "x").mapInArrow(_scored(to_arrow_schema(kind)), kind), "kn-scores", batch_rows=1)
     for table in (groups, places, bits, *(t for pair in orders for t in pair)):
         forget(table)
     return out

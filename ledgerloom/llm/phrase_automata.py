@@ -2,23 +2,24 @@
 
 A window is ``WINDOW`` consecutive words of one text; words in a window whose sequence starts anywhere else go.
 
-1. Anchors.  Each window points at the least digest among its runs of ``ANCHOR`` words (the leftmost on ties), so equal
-   windows point at equal runs, and a text of n words has about 2 n / 29 anchors.  Anchors are counted over all texts;
+1. Groups.  Every task packs its rows into groups, each one compressed row of a bucketed table, so that no later step
+   moves whole texts.
+2. Anchors.  Each window points at the least digest among its runs of ``ANCHOR`` words (the leftmost on ties), so equal
+   windows point at equal runs, and a text of n words has about 2 n / 29 anchors.  Anchors are counted over all groups;
    only windows at an anchor found twice or more can repeat.
-2. Confirmation.  The stretch of windows round each recurring anchor is cut out, equal stretches are summed by a partial
-   aggregate, and their windows are counted word for word, with multiplicity.
-3. Automata.  Runs of confirmed windows are the recurring passages.  Shards of them, by anchor, are compiled into
-   Aho-Corasick automata of bounded size; the stretches of all texts stream through their shard's automaton, which
-   locates every occurrence of every passage.  Stretches at other anchors cannot hold any, so no text misses a shard.
-4. The covered word ranges return to their texts.
-
-Scale: work is linear in the text.  An anchor with more than ``HOT_STRETCHES`` different stretches is dealt by salts of
-its windows: a stretch goes to the salts of its own windows, at most 28, and each salt counts its share of them.  There
-are so many salts that a group holds about HOT_STRETCHES / 2 stretches, however many the anchor has.  Stages are written
-tables.
+3. Confirmation.  Each group sends its distinct stretches of windows round recurring anchors, with their numbers; by
+   anchor, windows are compared word for word and counted.  Runs of windows found twice or more are passages.
+4. Automata.  Passages return to the groups that hold their stretches and are compiled there into Aho-Corasick automata
+   of bounded size, a symbol a word; all texts of the group stream through them whole, which locates every occurrence.
+   A text that holds a passage holds its anchor, so its group has that passage.
+
+Scale: work is linear in the text; what moves is anchors' digests and distinct stretches.  An anchor with more than
+``HOT_STRETCHES`` stretches is dealt by salts of its windows: a stretch goes to the salts of its own windows, at most 28,
+and each salt counts its share of them.  There are so many salts that each holds about HOT_STRETCHES / 2 stretches,
+however many the anchor has.  Stages are written tables.
 
 Defined results: null text has no words; texts under WINDOW words lose nothing; equal rows count as occurrences of each
-other; null doc_id is an identity of its own with its text.
+other; a row's identity is its place in its group, so doc_ids may be null or repeated.
 """
 
 from __future__ import annotations
@@ -28,137 +29,186 @@ from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import documents, forget, written
+from .common import documents, forget, group_parts, group_texts, packed_groups, written
 
 WINDOW = 35
 ANCHOR = 8
 HOT_STRETCHES = 1000
 HOT_BROADCAST = 10_000  # hot anchors; more of them are joined by a shuffle
-AUTOMATON_CHARS = 1 << 20
+GROUP_CHARS = 16 << 20
+AUTOMATON_WORDS = 1 << 19  # fewer than there are code points for the words
+_PART_WORDS = 1 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def anchors(words: list[bytes], window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(digest, first window, windows) of each anchor of a text: every window is counted at one anchor."""
-    import xxhash
+class Coded:
+    """Texts as places in a list of their distinct words."""
 
-    none = np.zeros(0, np.int64)
-    if len(words) < window:
-        return none, none, none
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(w) for w in words], np.uint64)
-    n = len(h) - anchor + 1
-    run = h[:n].copy()
-    for k in range(1, anchor):
-        run = run * _MULTIPLIER + h[k : n + k]
-    run ^= run >> np.uint64(29)
-    run *= np.uint64(0xBF58476D1CE4E5B9)
-    run ^= run >> np.uint64(32)
-    # at[i]: the leftmost least run among `span` of them from i, by doubling.
-    width, span, at = window - anchor + 1, 1, np.arange(n)
-    while span * 2 <= width:
-        left, right = at[: len(at) - span], at[span:]
-        at = np.where(run[left] <= run[right], left, right)
-        span *= 2
-    if width > span:
-        left, right = at[: len(at) - (width - span)], at[width - span :]
-        at = np.where(run[left] <= run[right], left, right)
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return run[at[first]].view(np.int64), first, np.diff(np.append(first, len(at)))
-
-
-def _occurrences(window: int, anchor: int):
-    def of(batches):
-        for rows in batches:
-            a, d, t, s, n = [], [], [], [], []
-            for i, text in enumerate(rows["text"]):
-                if isinstance(text, str):
-                    digest, first, count = anchors(text.encode("utf-8", "surrogatepass").split(), window, anchor)
-                    if len(digest):
-                        a.append(digest)
-                        s.append(first)
-                        n.append(count)
-                        d.append(i)
-            if a:
-                at = np.repeat(np.array(d), [len(x) for x in a])
-                yield pd.DataFrame({"a": np.concatenate(a), "doc_id": rows["doc_id"].array[at], "th": rows["th"].to_numpy()[at], "first": np.concatenate(s).astype(np.int32), "n": np.concatenate(n).astype(np.int32)})
+    def __init__(self, texts):
+        vocabulary: dict[bytes, int] = {}
+        found = []
+        for text in texts:
+            words = text.encode("utf-8", "surrogatepass").split() if text else []
+            found.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int32))
+        self.words = list(vocabulary)
+        self.sizes = np.array([len(x) for x in found], np.int64)
+        self.ends = np.cumsum(self.sizes)
+        self.ids = np.concatenate([np.zeros(0, np.int32), *found])
 
-    return of
+    def text(self, start: int, stop: int) -> bytes:
+        return b" ".join([self.words[i] for i in self.ids[start:stop].tolist()])
 
 
-def _stretches(window: int):
-    def of(batches):
-        for rows in batches:
-            out = []
-            for doc, th, text, spots in zip(rows["doc_id"], rows["th"], rows["text"], rows["spots"]):
-                words = text.encode("utf-8", "surrogatepass").split()
-                for spot in spots:
-                    first = spot["first"]
-                    out.append((spot["a"], b" ".join(words[first : first + spot["n"] + window - 1]), doc, th, first))
-            yield pd.DataFrame(out, columns=["a", "stretch", "doc_id", "th", "first"])
-
-    return of
-
+def anchors(coded: Coded, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(digest, first window, windows) of each anchor; every window of the texts is counted at one anchor."""
+    import xxhash
 
-def locate(stretches: list[bytes], counts: list[int], salts: list[tuple[int, int]], window: int = WINDOW) -> list[list[int]]:
-    """For each stretch the word ranges [from, to, from, to ...] that recurring passages cover.
+    digest = np.array([xxhash.xxh64_intdigest(w) for w in coded.words], np.uint64)
+    out = [(np.zeros(0, np.int64),) * 3]
+    cuts, doc = [0], 0
+    while cuts[-1] < len(coded.ids):
+        # Whole texts at a time, about _PART_WORDS words of them.
+        doc = max(int(np.searchsorted(coded.ends, cuts[-1] + _PART_WORDS, "right")), int(np.searchsorted(coded.ends, cuts[-1], "right")) + 1)
+        cuts.append(int(coded.ends[min(doc, len(coded.ends)) - 1]))
+    for lo, hi in zip(cuts, cuts[1:]):
+        h = digest[coded.ids[lo:hi]]
+        n = len(h) - anchor + 1
+        if len(h) < window:
+            continue
+        run = h[:n].copy()
+        for k in range(1, anchor):
+            run = run * _MULTIPLIER + h[k : n + k]
+        run ^= run >> np.uint64(29)
+        run *= np.uint64(0xBF58476D1CE4E5B9)
+        run ^= run >> np.uint64(32)
+        # at[i]: the leftmost least run among `span` of them from i, by doubling.
+        width, span, at = window - anchor + 1, 1, np.arange(n, dtype=np.int32)
+        while span * 2 <= width:
+            left, right = at[: len(at) - span], at[span:]
+            at = np.where(run[left] <= run[right], left, right)
+            span *= 2
+        if width > span:
+            left, right = at[: len(at) - (width - span)], at[width - span :]
+            at = np.where(run[left] <= run[right], left, right)
+        # Windows that run over the end of their text are none.
+        whole = np.ones(len(at) + 1, bool)
+        whole[-1] = False
+        ends = coded.ends[(coded.ends > lo) & (coded.ends < hi)] - lo
+        for k in range(1, window):
+            whole[(ends - k)[(ends >= k) & (ends - k < len(at))]] = False
+        new = np.concatenate([[True], (at[1:] != at[:-1]) | ~whole[:-2]]) & whole[:-1]
+        first = np.flatnonzero(new)
+        if len(first):
+            out.append((run[at[first]].view(np.int64), first + lo, np.add.reduceat(whole[:-1].astype(np.int64), first)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def stretches(coded: Coded, recurring: np.ndarray, window: int, anchor: int):
+    """The distinct stretches at recurring anchors, in the order they are found: (anchor, first window, windows, times)."""
+    a, first, n = anchors(coded, window, anchor)
+    keep = np.isin(a, recurring)
+    found: dict[tuple, list] = {}
+    for x, start, k in zip(a[keep].tolist(), first[keep].tolist(), n[keep].tolist()):
+        key = (x, coded.ids[start : start + k + window - 1].tobytes())
+        if key in found:
+            found[key][3] += 1
+        else:
+            found[key] = [x, start, k, 1]
+    return list(found.values())
+
+
+def confirmed(stretches: list[bytes], counts: list[int], salts: list[tuple[int, int]], window: int = WINDOW) -> list[list[int]]:
+    """For each stretch the ranges [from, to, from, to ...] of its windows that are found twice or more.
 
     ``counts``: how often each stretch occurs.  ``salts``: (share, shares) of the windows that a stretch counts here.
     """
-    import ahocorasick
-
     texts = [" " + s.decode("latin-1") + " " for s in stretches]
-    ends = [list(accumulate((len(w) + 1 for w in t[1:-1].split(" ")), initial=0)) for t in texts]
     seen: dict[str, int] = {}
     windows = []
-    for t, e, n, (share, shares) in zip(texts, ends, counts, salts):
-        own = [t[e[i] : e[i + window] + 1] for i in range(len(e) - window)]
+    for t, n, (share, shares) in zip(texts, counts, salts):
+        ends = list(accumulate((len(w) + 1 for w in t[1:-1].split(" ")), initial=0))
+        own = [t[ends[i] : ends[i + window] + 1] for i in range(len(ends) - window)]
         windows.append(own)
         for w in own:
             if shares == 1 or zlib.crc32(w.encode("latin-1")) % shares == share:
                 seen[w] = seen.get(w, 0) + n
-    passages: dict[str, int] = {}
-    for t, e, own in zip(texts, ends, windows):
-        start = None
-        for i in range(len(own) + 1):
-            good = i < len(own) and seen.get(own[i], 0) >= 2
-            if good and start is None:
-                start = i
-            elif not good and start is not None:
-                passages[t[e[start] : e[i - 1 + window] + 1]] = i - 1 + window - start
-                start = None
-    covered: list[set[int]] = [set() for _ in texts]
-    names = sorted(passages)
-    while names:
-        automaton, size = ahocorasick.Automaton(), 0
-        while names and size < AUTOMATON_CHARS:
-            p = names.pop()
-            automaton.add_word(p, (len(p), passages[p]))
-            size += len(p)
-        automaton.make_automaton()
-        for t, e, c in zip(texts, ends, covered):
-            place = None
-            for end, (chars, words) in automaton.iter(t):
-                if place is None:
-                    place = {x: i for i, x in enumerate(e)}
-                first = place[end + 1 - chars]
-                c.update(range(first, first + words))
-    out = []
-    for c in covered:
-        flat: list[int] = []
-        for i in sorted(c):
-            if flat and flat[-1] == i:
-                flat[-1] = i + 1
-            else:
-                flat += [i, i + 1]
-        out.append(flat)
+    return [_runs([i for i, w in enumerate(own) if seen.get(w, 0) >= 2]) for own in windows]
+
+
+def _runs(places: list[int]) -> list[int]:
+    out: list[int] = []
+    for i in places:
+        if out and out[-1] == i:
+            out[-1] = i + 1
+        else:
+            out += [i, i + 1]
     return out
 
 
+def located(coded: Coded, passages: list[np.ndarray]) -> np.ndarray:
+    """For each word of the texts, whether a passage (an array of word places) that occurs there covers it."""
+    import ahocorasick
+
+    change = np.zeros(len(coded.ids) + 1, np.int64)
+    passages = sorted({p.tobytes(): p for p in passages}.items())
+    at = 0
+    while at < len(passages):
+        shard, size = [], 0
+        while at < len(passages) and (not shard or size + len(passages[at][1]) <= AUTOMATON_WORDS):
+            shard.append(passages[at][1])
+            size += len(passages[at][1])
+            at += 1
+        # A code point for each word of the shard; 0 for words that it lacks.  Surrogates are left out.
+        symbol = np.zeros(len(coded.words), np.uint32)
+        own = np.unique(np.concatenate(shard))
+        code = np.arange(1, len(own) + 1, dtype=np.uint32)
+        symbol[own] = np.where(code < 0xD800, code, code + 0x800)
+        automaton = ahocorasick.Automaton()
+        for p in shard:
+            automaton.add_word(symbol[p].tobytes().decode("utf-32-le"), len(p))
+        automaton.make_automaton()
+        for start, stop in zip((coded.ends - coded.sizes).tolist(), coded.ends.tolist()):
+            for end, n in automaton.iter(symbol[coded.ids[start:stop]].tobytes().decode("utf-32-le")):
+                change[start + end + 1 - n] += 1
+                change[start + end + 1] -= 1
+    return np.cumsum(change)[:-1] > 0
+
+
+# ---- steps over groups ------------------------------------------------------------------------------------------
+
+
+def _counted(window: int, anchor: int):
+    def of(batches):
+        for batch in batches:
+            for grp, blob in zip(batch.column("grp"), batch.column("blob")):
+                a, n = np.unique(anchors(Coded(group_texts(blob)), window, anchor)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), grp.as_py(), np.int64)), pa.array(a), pa.array(n.astype(np.int32))], ["grp", "a", "n"])
+
+    return of
+
+
+def _cut(window: int, anchor: int):
+    def of(batches):
+        for batch in batches:
+            for grp, blob, recurring in zip(*(batch.column(c) for c in ("grp", "blob", "anchors"))):
+                coded = Coded(group_texts(blob))
+                found = stretches(coded, recurring.values.to_numpy(), window, anchor)
+                for at in range(0, len(found), 5000):
+                    some = found[at : at + 5000]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([x[0] for x in some], pa.int64()), pa.array([grp.as_py()] * len(some), pa.int64()), pa.array(range(at, at + len(some)), pa.int32()),
+                        pa.array([coded.text(x[1], x[1] + x[2] + window - 1) for x in some], pa.binary()), pa.array([x[3] for x in some], pa.int64()),
+                    ], ["a", "grp", "i", "stretch", "n"])
+
+    return of
+
+
 def _salted(window: int):
     def of(batches):
         """Each stretch once per salt that one of its windows has; a few hundred stretches at a time."""
@@ -169,23 +219,25 @@ def _salted(window: int):
                 own = {zlib.crc32(b" " + b" ".join(words[j : j + window]) + b" ") % k for j in range(len(words) - window + 1)}
                 at += [i] * len(own)
                 salts += sorted(own)
-            yield rows.iloc[at].reset_index(drop=True).assign(salt=salts)[["a", "sh", "stretch", "n", "salt", "salts"]]
+            yield rows.iloc[at].reset_index(drop=True).assign(salt=salts)[_COLUMNS]
 
     return of
 
 
-def _located(window: int):
+_COLUMNS = ["a", "grp", "i", "stretch", "n", "salt", "salts"]
+
+
+def _confirmed(window: int):
     def of(batches):
-        """Rows sorted by (a, salt); a group is handled whole, many small groups together."""
+        """Rows sorted by (a, salt); a group of them is handled whole, many small ones together."""
         held: list[pd.DataFrame] = []
         size = 0
 
         def done(rows: pd.DataFrame) -> pd.DataFrame:
-            ranges = locate(rows["stretch"].tolist(), rows["n"].tolist(), list(zip(rows["salt"], rows["salts"])), window)
-            keep = np.array([bool(r) for r in ranges], bool)
-            # Of type object even where no stretch is covered, as Arrow makes lists of nothing else.
-            found = pd.Series([r for r in ranges if r], dtype=object)
-            return pd.DataFrame({"a": rows["a"].to_numpy()[keep], "sh": rows["sh"].to_numpy()[keep], "ranges": found})
+            runs = confirmed(rows["stretch"].tolist(), rows["n"].tolist(), list(zip(rows["salt"], rows["salts"])), window)
+            keep = np.array([bool(r) for r in runs], bool)
+            # Of type object even where no window is confirmed, as Arrow makes lists of nothing else.
+            return pd.DataFrame({"grp": rows["grp"].to_numpy()[keep], "i": rows["i"].to_numpy()[keep], "runs": pd.Series([r for r in runs if r], dtype=object)})
 
         for rows in batches:
             if not len(rows):
@@ -209,78 +261,67 @@ def _located(window: int):
     return of
 
 
-def _identity(df: DataFrame) -> list:
-    """doc_id and th, never null: th is a digest of the text, and of whether doc_id (then 0) is null."""
-    return [F.coalesce(df["doc_id"], F.lit(0)).alias("doc_id"), F.hash(df["text"], df["doc_id"].isNull()).alias("th")]
+def _without(window: int, anchor: int, schema: pa.Schema):
+    def of(batches):
+        for batch in batches:
+            for blob, recurring, covers in zip(*(batch.column(c) for c in ("blob", "anchors", "covers"))):
+                coded = Coded(group_texts(blob))
+                places: dict[int, set[int]] = {}
+                for cover in covers.as_py() or []:
+                    for lo, hi in zip(cover["runs"][::2], cover["runs"][1::2]):
+                        places.setdefault(cover["i"], set()).update(range(lo, hi))
+                passages = []
+                if places:
+                    found = stretches(coded, recurring.values.to_numpy(), window, anchor)
+                    for i, own in places.items():
+                        runs, start = _runs(sorted(own)), found[i][1]
+                        passages += [coded.ids[start + lo : start + hi + window - 1] for lo, hi in zip(runs[::2], runs[1::2])]
+                    del found
+                gone = located(coded, passages)
+                starts, doc = (coded.ends - coded.sizes).tolist(), 0
+                for part in group_parts(blob):
+                    n_words, n_removed, kept = [], [], []
+                    for _ in range(part.num_rows):
+                        ids, out = coded.ids[starts[doc] : coded.ends[doc]], gone[starts[doc] : coded.ends[doc]]
+                        n_words.append(len(ids))
+                        n_removed.append(int(out.sum()))
+                        kept.append(b" ".join([coded.words[i] for i in ids[~out].tolist()]).decode("utf-8", "surrogatepass"))
+                        doc += 1
+                    row = part.column("row").cast(schema.field("row").type)
+                    yield pa.RecordBatch.from_arrays([row, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], schema=schema)
 
+    return of
 
-def repeated_ranges(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """``doc_id, th, ranges`` of the texts (doc_id, text) that hold a repeated window, by ``_identity``.
 
-    ``ranges``: array of word ranges [from, to, from, to ...], not merged across stretches.
-    """
-    spark = df.sparkSession
-    docs = df.select(*_identity(df), "text")
-    occ = written(docs.mapInPandas(_occurrences(window, anchor), "a bigint, doc_id bigint, th int, first int, n int"), "anchors")
-    # Written, so that adaptive execution can split the join where an anchor has very many occurrences.
-    twice = written(occ.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c >= 2").select("a"), "recurring")
-    found = occ.join(twice, "a", "left_semi").groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "first", "n")).alias("spots"))
-    found = written(found.select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), "spots"), "anchor-spots")
-    forget(occ)
-    forget(twice)
-    texts = docs.join(found, (docs.doc_id == found.d2) & (docs.th == found.t2)).select("doc_id", "th", "text", "spots")
-    cut = texts.mapInPandas(_stretches(window), "a bigint, stretch binary, doc_id bigint, th int, first int").withColumn("sh", F.xxhash64("stretch"))
-    cut = written(cut, "stretches")
+def dedup_passages(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """``row`` (a struct of the columns of ``df`` (doc_id, text, ...) in ``keep``, or all), ``n_words, n_removed, kept_text``."""
+    groups = packed_groups(df, text, keep, GROUP_CHARS, "phrase-groups")
+    found = written(groups.select("grp", "blob").mapInArrow(_counted(window, anchor), "grp bigint, a bigint, n int"), "anchors", batch_rows=1)
+    twice = written(found.groupBy("a").agg(F.sum("n").alias("c")).where("c >= 2").select("a"), "recurring")
+    recurring = written(found.join(twice.hint("merge"), "a", "left_semi").groupBy("grp").agg(F.collect_list("a").alias("anchors")), "group-anchors")
     forget(found)
-    distinct = written(cut.groupBy("a", "sh", "stretch").agg(F.count(F.lit(1)).alias("n")), "distinct-stretches")
-    slim = written(cut.select("a", "sh", "doc_id", "th", "first"), "places")
-    forget(cut)
-    many = written(distinct.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT_STRETCHES).select("a", F.expr(f"cast(ceil({window - anchor + 1} * c / {HOT_STRETCHES}) as int)").alias("salts")), "hot-anchors")
+    forget(twice)
+    whole = groups.select("grp", "blob").join(recurring.hint("merge"), "grp")
+    cut = written(whole.mapInArrow(_cut(window, anchor), "a bigint, grp bigint, i int, stretch binary, n bigint"), "stretches", batch_rows=1)
+    many = cut.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT_STRETCHES)
+    many = written(many.select("a", F.expr(f"cast(ceil({window - anchor + 1} * c / {HOT_STRETCHES}) as int)").alias("salts")), "hot-anchors")
     few = F.broadcast(many) if many.count() <= HOT_BROADCAST else many.hint("merge")
-    columns = ["a", "sh", "stretch", "n", "salt", "salts"]
-    cold = distinct.join(few, "a", "left_anti").selectExpr("*", "0 AS salt", "1 AS salts").select(columns)
-    hot = distinct.join(few, "a").select("a", "sh", "stretch", "n", "salts").mapInPandas(_salted(window), "a bigint, sh bigint, stretch binary, n bigint, salt int, salts int")
-    place = lambda rows: rows.sortWithinPartitions("a", "salt").mapInPandas(_located(window), "a bigint, sh bigint, ranges array<int>")
-    covers = written(place(cold.unionAll(hot).repartition("a", "salt")), "covers")
-    forget(distinct)
-    where = slim.join(covers, ["a", "sh"])
-    ranges = where.groupBy("doc_id", "th").agg(F.flatten(F.collect_set(F.expr("transform(ranges, x -> x + first)"))).alias("ranges"))
-    out = written(ranges, "ranges")
-    for table in (slim, many, covers):
-        forget(table)
-    return out
-
-
-_KEPT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-
-
-@F.pandas_udf(_KEPT)
-def _without(texts: pd.Series, ranges: pd.Series) -> pd.DataFrame:
-    rows = []
-    for text, found in zip(texts, ranges):
-        words = text.encode("utf-8", "surrogatepass").split() if isinstance(text, str) else []
-        kept = words
-        if found is not None and len(found):
-            gone = np.zeros(len(words) + 1, np.int64)
-            f = np.asarray(found)
-            np.add.at(gone, f[0::2], 1)
-            np.add.at(gone, f[1::2], -1)
-            kept = [w for w, g in zip(words, np.cumsum(gone)[:-1]) if not g]
-        rows.append((len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "surrogatepass")))
-    return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_text"])
-
-
-def dedup_passages(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """``df`` (doc_id, text, ...) with a struct column ``passages``: n_words, n_removed, kept_text."""
-    ranges = repeated_ranges(df, window, anchor).select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), F.col("ranges").alias("__r"))
-    doc, th = _identity(df)
-    joined = df.join(ranges, (doc == ranges["__d"]) & (th == ranges["__t"]), "left")
-    return joined.select(*[df[c] for c in df.columns], _without(df["text"], F.col("__r")).alias("passages"))
+    cold = cut.join(few, "a", "left_anti").selectExpr("*", "0 AS salt", "1 AS salts").select(_COLUMNS)
+    hot = cut.join(few, "a").mapInPandas(_salted(window), "a bigint, grp bigint, i int, stretch binary, n bigint, salt int, salts int")
+    dealt = cold.unionAll(hot).repartition("a", "salt").sortWithinPartitions("a", "salt")
+    covers = written(dealt.mapInPandas(_confirmed(window), "grp bigint, i int, runs array<int>"), "covers")
+    forget(cut)
+    forget(many)
+    covers = written(covers.groupBy("grp").agg(F.collect_list(F.struct("i", "runs")).alias("covers")), "group-covers")
+    whole = groups.select("grp", "blob").join(recurring.hint("merge"), "grp", "left").join(covers.hint("merge"), "grp", "left")
+    row = df.select(*(df.columns if keep is None else keep)).schema
+    kind = T.StructType([T.StructField("row", row), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
+    return whole.select("blob", "anchors", "covers").mapInArrow(_without(window, anchor, to_arrow_schema(kind)), kind)
 
 
 def query(spark, sf_dir):
-    out = dedup_passages(documents(spark, sf_dir).select("doc_id", "text"))
-    return out.select("doc_id", "passages.n_words", "passages.n_removed", F.sha2("passages.kept_text", 256).alias("kept_sha256"))
+    out = dedup_passages(documents(spark, sf_dir).select("doc_id", "text"), keep=("doc_id",))
+    return out.select("row.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 ORACLE_SQL = rf"""

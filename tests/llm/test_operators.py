@@ -307,7 +307,6 @@ def _passages(texts, window=35):
 @pytest.mark.parametrize("hot", [5000, 2])
 def test_passages_against_all_windows(spark, monkeypatch, hot):
     monkeypatch.setattr(phrase_automata, "HOT_STRETCHES", hot)
-    monkeypatch.setattr(phrase_automata, "AUTOMATON_CHARS", 2000)
     rng = random.Random(10)
     shared = prose(rng, 60).split()
     texts = list(ODD)
@@ -318,10 +317,43 @@ def test_passages_against_all_windows(spark, monkeypatch, hot):
     # An anchor that recurs in other company only: a group in which nothing is confirmed.
     texts += [prose(rng, 30) + " one two three four five six seven eight nine " + prose(rng, 30) for _ in range(6)]
     texts += [texts[-1], prose(rng, 34), " ".join(shared[:34]), (prose(rng, 40) + "\n") * 3, "again " * 100]
-    got = {r.doc_id: r.passages for r in phrase_automata.dedup_passages(docs(spark, texts)).collect()}
     want = _passages(texts)
+    got = {r.row.doc_id: r for r in phrase_automata.dedup_passages(docs(spark, texts)).collect()}
     assert [got[i].kept_text for i in range(len(texts))] == want
     assert [got[i].n_words - got[i].n_removed for i in range(len(texts))] == [len(w.split()) for w in want]
+    # Rows without ids are told apart all the same.
+    none = phrase_automata.dedup_passages(docs(spark, texts).withColumn("doc_id", F.lit(None).cast("bigint"))).collect()
+    assert sorted((r.row.text or "", r.kept_text) for r in none) == sorted(zip([t or "" for t in texts], want))
+
+
+def test_located_in_many_shards(monkeypatch):
+    """Every occurrence of every passage, by plain search, whatever the size of the automata."""
+    rng = random.Random(12)
+    texts = ["", *(" ".join(rng.choice("abcd") for _ in range(rng.randint(1, 80))) for _ in range(30))]
+    coded = phrase_automata.Coded(texts)
+    passages = [coded.ids[i : i + rng.randint(3, 9)] for i in rng.sample(range(len(coded.ids) - 10), 25)]
+    want, start = [], 0
+    for text in texts:
+        w = coded.ids[start : start + len(text.split())].tolist()
+        start += len(w)
+        own = [False] * len(w)
+        for p in passages:
+            for i in range(len(w) - len(p) + 1):
+                if w[i : i + len(p)] == p.tolist():
+                    own[i : i + len(p)] = [True] * len(p)
+        want += own
+    for words in (1 << 19, 12):
+        monkeypatch.setattr(phrase_automata, "AUTOMATON_WORDS", words)
+        assert phrase_automata.located(coded, passages).tolist() == want
+
+
+def test_anchors_do_not_depend_on_parts(monkeypatch):
+    rng = random.Random(13)
+    coded = phrase_automata.Coded([prose(rng, n) for n in (10, 35, 36, 200, 0, 34, 90, 500)])
+    want = [x.tolist() for x in phrase_automata.anchors(coded)]
+    assert sum(want[2]) == sum(max(0, n - 34) for n in coded.sizes.tolist())
+    monkeypatch.setattr(phrase_automata, "_PART_WORDS", 40)
+    assert [x.tolist() for x in phrase_automata.anchors(coded)] == want
 
 
 # ---- 9 ----------------------------------------------------------------------------------------------------------

@@ -42,7 +42,8 @@ ANCHOR = 8
 HOT_STRETCHES = 1000
 HOT_BROADCAST = 10_000  # hot anchors; more of them are joined by a shuffle
 GROUP_CHARS = 16 << 20
-AUTOMATON_WORDS = 1 << 19  # fewer than there are code points for the words
+AUTOMATON_WORDS = 1 << 18
+RADIX = 48
 _PART_WORDS = 1 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -151,32 +152,60 @@ def _runs(places: list[int]) -> list[int]:
     return out
 
 
+def _symbols(n: int) -> tuple[np.ndarray, int]:
+    """Codes of n words, of equal width: an automaton's nodes are searched one child after the other, so few symbols.
+
+    The first symbol of a code is no other's, which keeps matches at whole words.
+    """
+    width = 1
+    while RADIX**width < n:
+        width += 1
+    digits = [np.arange(n) // RADIX**k % RADIX + 1 + RADIX * (k > 0) for k in range(width)]
+    return np.column_stack(digits).astype(np.uint32), width
+
+
 def located(coded: Coded, passages: list[np.ndarray]) -> np.ndarray:
     """For each word of the texts, whether a passage (an array of word places) that occurs there covers it."""
     import ahocorasick
 
     change = np.zeros(len(coded.ids) + 1, np.int64)
-    passages = sorted({p.tobytes(): p for p in passages}.items())
+    passages = list({p.tobytes(): p for p in passages}.values())
+    # Texts begin and end where a match cannot go on.
+    begins, stops = np.zeros(len(coded.ids), bool), np.zeros(len(coded.ids), bool)
+    some = coded.sizes > 0
+    begins[(coded.ends - coded.sizes)[some]] = True
+    stops[coded.ends[some] - 1] = True
     at = 0
     while at < len(passages):
         shard, size = [], 0
-        while at < len(passages) and (not shard or size + len(passages[at][1]) <= AUTOMATON_WORDS):
-            shard.append(passages[at][1])
-            size += len(passages[at][1])
+        while at < len(passages) and (not shard or size + len(passages[at]) <= AUTOMATON_WORDS):
+            shard.append(passages[at])
+            size += len(passages[at])
             at += 1
-        # A code point for each word of the shard; 0 for words that it lacks.  Surrogates are left out.
-        symbol = np.zeros(len(coded.words), np.uint32)
         own = np.unique(np.concatenate(shard))
-        code = np.arange(1, len(own) + 1, dtype=np.uint32)
-        symbol[own] = np.where(code < 0xD800, code, code + 0x800)
+        place = np.full(len(coded.words), -1, np.int32)
+        place[own] = np.arange(len(own), dtype=np.int32)
+        symbols, width = _symbols(len(own))
         automaton = ahocorasick.Automaton()
         for p in shard:
-            automaton.add_word(symbol[p].tobytes().decode("utf-32-le"), len(p))
+            automaton.add_word(symbols[place[p]].tobytes().decode("utf-32-le"), len(p))
         automaton.make_automaton()
-        for start, stop in zip((coded.ends - coded.sizes).tolist(), coded.ends.tolist()):
-            for end, n in automaton.iter(symbol[coded.ids[start:stop]].tobytes().decode("utf-32-le")):
-                change[start + end + 1 - n] += 1
-                change[start + end + 1] -= 1
+        # A word that the shard lacks leads every automaton back to its root: what lies between two of them is streamed,
+        # unless it is shorter than any passage.
+        here = place[coded.ids]
+        known = here >= 0
+        left, right = np.roll(known, 1), np.roll(known, -1)
+        starts = np.flatnonzero(known & (begins | ~left))
+        ends = np.flatnonzero(known & (stops | ~right)) + 1
+        long = ends - starts >= min(map(len, shard))
+        found, sizes = [], []
+        for start, end in zip(starts[long].tolist(), ends[long].tolist()):
+            for last, n in automaton.iter(symbols[here[start:end]].tobytes().decode("utf-32-le")):
+                found.append(start + (last + 1) // width)
+                sizes.append(n)
+        found, sizes = np.array(found, np.int64), np.array(sizes, np.int64)
+        np.add.at(change, found - sizes, 1)
+        np.add.at(change, found, -1)
     return np.cumsum(change)[:-1] > 0
 
 

@@ -9,7 +9,7 @@ letters of each language, of every row an even share, longer where others are sh
 languages).  Every character of a language's sample has a symbol of its own; an automaton has at most 2 * sample_chars
 states and 3 * sample_chars transitions, those of the language's 63 most frequent characters in a dense table and the
 others in a sorted list, so the broadcast has a proven bound.  Whole texts are parsed, in blocks of ``BLOCK`` symbols
-that all advance together in numpy; a match ends with its block, whatever batch the text came in.
+that all advance together in numpy; matches go on from block to block, so phrases are those of the whole text.
 
 Defined results: null text and text without a letter give ``und`` with score 0; rows without lang teach nothing; ties
 go to the language first in code point order; no labelled row at all gives ``und`` everywhere.
@@ -65,23 +65,24 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return step
 
 
+_START = np.int32(-(1 << 31))
+
+
 def parsing_table(step: list[dict[int, int]], n_symbols: int) -> np.ndarray:
-    """Next state for (state, symbol), times n_symbols; the sign bit marks that a phrase ended before the symbol.
+    """Next state for (state, symbol), times n_symbols; the sign bit marks that a phrase starts at the symbol.
 
-    Where no match goes on, the next one starts at the symbol itself; a symbol that the root does not know is a phrase.
-    Symbols from n_symbols on are left to ``sparse_table``.
+    A phrase starts where no match goes on and wherever the state is the root: at a text's first symbol and after a symbol
+    that the root does not know, which is a phrase by itself.  Symbols from n_symbols on are left to ``sparse_table``.
     """
     table = np.zeros((len(step), n_symbols), np.int32)
-    root = np.full(n_symbols, 0, np.int32)
     for c, to in step[0].items():
         if c < n_symbols:
-            root[c] = to * n_symbols
-    table[:] = root | np.int32(-(1 << 31))
-    for state, edges in enumerate(step):
+            table[:, c] = to * n_symbols
+    table |= _START
+    for state, edges in enumerate(step[1:], 1):
         for c, to in edges.items():
             if c < n_symbols:
                 table[state, c] = to * n_symbols
-    # At the root no match is open: a known symbol opens one, an unknown one is a phrase by itself.
     return table.reshape(-1)
 
 
@@ -90,12 +91,12 @@ def sparse_table(step: list[dict[int, int]], n_symbols: int, size: int) -> tuple
 
     Entries are those of ``parsing_table``; a symbol's own entry holds where no key does.
     """
-    found = sorted((state * size + c, to * n_symbols) for state, edges in enumerate(step) for c, to in edges.items() if c >= n_symbols)
+    found = sorted((state * size + c, to * n_symbols) for state, edges in enumerate(step) if state for c, to in edges.items() if c >= n_symbols)
     own = np.zeros(size, np.int32)
     for c, to in step[0].items():
         own[c] = to * n_symbols
     keys, entries = np.array(found, np.int64).reshape(-1, 2).T
-    return np.ascontiguousarray(keys), entries.astype(np.int32), own | np.int32(-(1 << 31))
+    return np.ascontiguousarray(keys), entries.astype(np.int32), own | _START
 
 
 def _letters(text: str) -> str:
@@ -128,6 +129,21 @@ class Model:
             self.sparse.append(sparse_table(step, size, len(own) + 1))
             self.cost.append(np.log2(max(2, len(texts[k]))))
 
+    def _entries(self, k: int, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """The entries of language k's automaton for states and symbols."""
+        size, (keys, entries, own) = self.sizes[k], self.sparse[k]
+        rare = np.flatnonzero(symbols >= size)
+        if not len(rare):
+            return self.tables[k][state + symbols]
+        out = self.tables[k][state + np.where(symbols < size, symbols, 0)]
+        if not len(keys):
+            out[rare] = own[symbols[rare]]
+            return out
+        key = (state[rare] // size).astype(np.int64) * len(own) + symbols[rare]
+        i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        out[rare] = np.where(keys[i] == key, entries[i], own[symbols[rare]])
+        return out
+
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases of each text (rows) by each language (columns)."""
         out = np.zeros((len(texts), len(self.languages)), np.int64)
@@ -137,33 +153,71 @@ class Model:
             for at in range(0, len(s), BLOCK):
                 blocks.append(s[at : at + BLOCK])
                 owner.append(i)
-        order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-        for at in range(0, len(order), _LANES):
-            mine = order[at : at + _LANES]
-            sizes = np.array([len(blocks[i]) for i in mine])
-            grid = np.zeros((int(sizes[0]), len(mine)), np.int32)
-            for lane, i in enumerate(mine):
-                grid[: sizes[lane], lane] = blocks[i]
-            active = np.searchsorted(-sizes, -np.arange(len(grid)), side="left")
-            who = np.array([owner[i] for i in mine])
-            for k, (table, size, (keys, entries, own)) in enumerate(zip(self.tables, self.sizes, self.sparse)):
-                mine_symbols = self.symbols[k][grid]
-                rare = (mine_symbols >= size).any(axis=1) if len(keys) else np.zeros(len(grid), bool)
-                state, ended = np.zeros(len(mine), np.int32), np.ones(len(mine), np.int64)
-                for t in range(len(grid)):
-                    m = active[t]
-                    c = mine_symbols[t, :m]
-                    entry = table[state[:m] + (c if not rare[t] else np.where(c < size, c, 0))]
-                    if rare[t]:
-                        at = np.flatnonzero(c >= size)
-                        key = (state[at] // size).astype(np.int64) * len(own) + c[at]
-                        i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                        entry[at] = np.where(keys[i] == key, entries[i], own[c[at]])
-                    ended[:m] += entry < 0
-                    state[:m] = entry & 0x7FFFFFFF
-                np.add.at(out[:, k], who, ended)
+        owner = np.array(owner, np.int64)
+        entering = np.zeros(len(self.languages), np.int32)  # the states at the first of some blocks, where it goes on
+        for at in range(0, len(blocks), _LANES):
+            mine, who = blocks[at : at + _LANES], owner[at : at + _LANES]
+            goes_on = np.concatenate([[at > 0 and owner[at - 1] == who[0]], who[1:] == who[:-1]])
+            sizes = np.array([len(b) for b in mine])
+            order = np.argsort(-sizes, kind="stable")
+            grid = np.zeros((int(sizes.max()), len(mine)), np.int32)
+            for lane, i in enumerate(order.tolist()):
+                grid[: sizes[i], lane] = mine[i]
+            lane_of = np.empty(len(mine), np.int64)
+            lane_of[order] = np.arange(len(mine))
+            for k in range(len(self.languages)):
+                counts, entering[k] = self._parsed(k, self.symbols[k][grid], sizes[order], lane_of, goes_on, entering[k])
+                np.add.at(out[:, k], who, counts)
         return out
 
+    def _parsed(self, k: int, symbols: np.ndarray, sizes: np.ndarray, lane_of: np.ndarray, goes_on: np.ndarray, entering: int) -> tuple[np.ndarray, int]:
+        """Phrases that start in each block (in text order), and the state after the last one.
+
+        All blocks advance together, each as if its text began there.  A block that continues a text is then parsed from
+        the true state until a phrase starts at the same symbol in both parses, from where on they are one.
+        """
+        active = np.searchsorted(-sizes, -np.arange(len(symbols)), side="left")
+        starts, state = np.zeros(symbols.shape, bool), np.zeros(len(sizes), np.int32)
+        for t in range(len(symbols)):
+            m = active[t]
+            entry = self._entries(k, state[:m], symbols[t, :m])
+            starts[t, :m] = entry < 0
+            state[:m] = entry & 0x7FFFFFFF
+        counts = starts.sum(axis=0)
+        final = state[lane_of]
+        total, pending = counts[lane_of].astype(np.int64), np.flatnonzero(goes_on)
+        while len(pending):
+            before = np.where(pending > 0, final[np.maximum(pending, 1) - 1], entering)
+            lanes = lane_of[pending]
+            true, true_starts, own_starts = before.astype(np.int32), np.zeros(len(pending), np.int64), np.zeros(len(pending), np.int64)
+            left, changed = np.flatnonzero(before != 0), []
+            total[pending] = counts[lanes]
+            t = 0
+            while len(left):
+                over = t >= sizes[lanes[left]]
+                changed.append(left[over])
+                left = left[~over]
+                if not len(left):
+                    break
+                entry = self._entries(k, true[left], symbols[t, lanes[left]])
+                own = starts[t, lanes[left]]
+                same = (entry < 0) & own
+                met = left[same]
+                total[pending[met]] += true_starts[met] - own_starts[met]
+                true_starts[left] += entry < 0
+                own_starts[left] += own
+                true[left] = entry & 0x7FFFFFFF
+                left = left[~same]
+                t += 1
+            changed = np.concatenate(changed) if changed else np.zeros(0, np.int64)
+            total[pending[changed]] += true_starts[changed] - own_starts[changed]
+            moved = pending[changed][final[pending[changed]] != true[changed]]
+            final[pending[changed]] = true[changed]
+            pending = moved + 1
+            pending = pending[pending < len(final)]
+            pending = pending[goes_on[pending]]
+        return total, int(final[-1])
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         clean = [_letters(t).strip() if t and any(map(str.isalpha, t)) else "" for t in texts]
         lang, score = ["und"] * len(texts), [0.0] * len(texts)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, sql_regex, words_sql
+from .common import WORD, sql_regex, words_sql
 
 #: Phrases of site furniture, matched in the lower-cased line.
 BOILERPLATE = (
@@ -18,8 +18,8 @@ BOILERPLATE = (
     r"privacy policy|terms of (use|service)|sign in|sign up|subscribe (now|to)|click here|read more|"
     r"copyright ©|© ?[0-9]{4}|licensed under|released under the"
 )
-SYMBOLS = r"[#*$%&|<>!]"
-SEPARATORS = r"[|›»•·>]"
+SYMBOLS = "#*$%&|<>!"
+SEPARATORS = "|›»•·>"
 TERMINAL = r"[.!?…。！？:;\"'”’»)\]][\x20\x09-\x0D]*\z"
 
 MIN_LINE_WORDS = 3  # a line without a terminal mark needs so many words
@@ -30,12 +30,12 @@ MAX_LOSS_PERCENT = 50  # of a document's characters in lines with a word
 
 def line_failed_sql(line: str) -> str:
     """Spark SQL that is true where a line with a word fails a rule."""
-    size = f"size(split(trim({line}), {sql_regex(BLANKS)}))"
-    without = lambda what: f"(length({line}) - length(regexp_replace({line}, {sql_regex(what)}, '')))"
+    size = f"regexp_count({line}, {sql_regex(WORD)})"
+    number = lambda of: f"(length({line}) - length(translate({line}, '{of}', '')))"
     return (
         f"((NOT {line} rlike {sql_regex(TERMINAL)} AND {size} < {MIN_LINE_WORDS})"
-        f" OR 100 * {without(SYMBOLS)} > {MAX_SYMBOL_PERCENT} * length({line})"
-        f" OR ({without(SEPARATORS)} >= {MIN_SEPARATORS} AND 4 * {without(SEPARATORS)} >= {size})"
+        f" OR 100 * {number(SYMBOLS)} > {MAX_SYMBOL_PERCENT} * length({line})"
+        f" OR ({number(SEPARATORS)} >= {MIN_SEPARATORS} AND 4 * {number(SEPARATORS)} >= {size})"
         f" OR lower({line}) rlike {sql_regex(BOILERPLATE)})"
     )
 
@@ -52,7 +52,7 @@ def line_rules(df: DataFrame, text: str = "text", max_loss_percent: int = MAX_LO
         "row", "l",
         F.expr("cast(size(w) as bigint)").alias("n_words"),
         F.expr("aggregate(w, 0L, (a, x) -> a + length(x))").alias("word_chars"),
-        F.expr(f"cast(length(t) - length(regexp_replace(t, {sql_regex('[#*$%&|<>]')}, '')) as bigint)").alias("n_symbols"),
+        F.expr(f"cast(length(t) - length(translate(t, '#*$%&|<>', '')) as bigint)").alias("n_symbols"),
         F.expr("cast(size(l) - size(array_distinct(l)) as bigint)").alias("n_dup_lines"),
         F.expr(windows).alias("h"),
         F.expr(f"filter(l, x -> NOT {line_failed_sql('x')})").alias("good"),
@@ -77,19 +77,19 @@ def query(spark, sf_dir):
     from .common import documents
 
     out = line_rules(documents(spark, sf_dir).select("doc_id", "text"))
-    return out.select("row.doc_id", *[c for c in out.columns if c not in ("row", "clean_text")])
+    return out.select("row.doc_id", *[c for c in out.columns if c not in ("row", "clean_text")], F.sha2("clean_text", 256).alias("clean_sha256"))
 
 
 def _duck(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-_SIZE = f"len(string_split_regex(trim(x), {_duck(BLANKS)}))"
-_LESS = "(length(x) - length(regexp_replace(x, {}, '', 'g')))"
+_SIZE = f"len(regexp_extract_all(x, {_duck(WORD)}))"
+_LESS = "(length(x) - length(translate(x, '{}', '')))"
 _FAILED = (
     f"((NOT regexp_matches(x, {_duck(TERMINAL)}) AND {_SIZE} < {MIN_LINE_WORDS})"
-    f" OR 100 * {_LESS.format(_duck(SYMBOLS))} > {MAX_SYMBOL_PERCENT} * length(x)"
-    f" OR ({_LESS.format(_duck(SEPARATORS))} >= {MIN_SEPARATORS} AND 4 * {_LESS.format(_duck(SEPARATORS))} >= {_SIZE})"
+    f" OR 100 * {_LESS.format(SYMBOLS)} > {MAX_SYMBOL_PERCENT} * length(x)"
+    f" OR ({_LESS.format(SEPARATORS)} >= {MIN_SEPARATORS} AND 4 * {_LESS.format(SEPARATORS)} >= {_SIZE})"
     f" OR regexp_matches(lower(x), {_duck(BOILERPLATE)}))"
 )
 ORACLE_SQL = rf"""
@@ -117,6 +117,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(good) AS BIGINT) AS n_failed_lines,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
-    AND 100 * (chars - good_chars) <= {MAX_LOSS_PERCENT} * chars AS kept
+    AND 100 * (chars - good_chars) <= {MAX_LOSS_PERCENT} * chars AS kept,
+  sha256(array_to_string(good, chr(10))) AS clean_sha256
 FROM c
 """

@@ -4,8 +4,9 @@ A document is a bag of sentences.  A sentence's probability is a logistic functi
 (inflected words share them); the document's is their noisy-or, 1 - prod(1 - p).  Weights are learned from document labels alone, through the noisy-or, and then point at the
 sentences that offend.
 
-Scale: the fit takes a bounded sample of labelled rows (``rows_per_class`` of each label, those with the smallest
-digests of doc_id); only the sampled ids are broadcast, and no text is shuffled.  Scoring is one pass over whole texts.
+Scale: the fit takes a bounded sample of labelled rows (``rows_per_class`` ids of each label and as many rows at most,
+those with the smallest digests of doc_id and text, and of them ``sample_chars`` characters at most, whole rows in that
+order); only the sampled ids are broadcast, and no other text is shuffled.  Scoring is one pass over whole texts.
 
 Defined results: null and empty texts have no sentence and score 0; words of a sentence count once; a document with
 contradictory label rows counts as toxic; without both labels in the sample every score is 0.
@@ -24,6 +25,7 @@ from pyspark.sql import types as T
 from .common import documents, text_udf, written
 
 ROWS_PER_CLASS = 2000
+SAMPLE_CHARS = 64 << 20
 MIN_ROWS = 4  # a word is a feature if so many sampled documents have it ...
 MIN_Z = 3.0  # ... and its share in the two classes differs by so many standard errors
 MAX_FEATURES = 20_000
@@ -87,7 +89,7 @@ class Model:
     def score(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
         """The noisy-or of a text, and (start, end, probability) of its offending sentences."""
         clean, offending, known, first, k = 0.0, [], self.weight.keys(), self.first, PREFIXES[0]
-        if not text:
+        if not text or not self.weight:
             return 0.0, offending
         none = -float(np.logaddexp(0, self.bias))
         for start, end, words in sentences(text):
@@ -132,7 +134,7 @@ def train(texts: list[str], labels: list[int], names: list[str], rounds: int = 3
     return Model({w: float(x[i]) for i, w in enumerate(names)}, float(x[-1]))
 
 
-def fit(df: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> Model:
+def fit(df: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS, sample_chars: int = SAMPLE_CHARS) -> Model:
     """A model from ``df`` (doc_id, text) and ``labels`` (doc_id, toxic), from at most rows_per_class rows a label."""
     marks = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     counts = {r[0]: r[1] for r in marks.groupBy("toxic").count().collect()}
@@ -146,7 +148,10 @@ def fit(df: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS)
     spark = df.sparkSession
     ids = spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in picked], "doc_id bigint, toxic int")
     # At most 2 * rows_per_class ids: a bound that the caller sets.
-    sample = written(df.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").repartition(8), "toxic-sample")
+    found = df.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").withColumn("h", F.xxhash64("doc_id", "text"))
+    found = found.orderBy("h").limit(2 * rows_per_class)
+    found = found.withColumn("upto", F.expr("sum(length(coalesce(text, ''))) OVER (ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING)"))
+    sample = written(found.where(F.col("upto") <= sample_chars).select("doc_id", "text", "toxic").repartition(8), "toxic-sample")
     names = selected(sample)
     rows = sorted(sample.collect(), key=lambda r: (r["doc_id"], r["text"] or ""))
     return train([r["text"] for r in rows], [r["toxic"] for r in rows], names)

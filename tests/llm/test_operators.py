@@ -114,27 +114,40 @@ def test_line_rules(spark):
         assert r.n_symbols == sum(c in "#*$%&|<>" for c in text)
 
 
+def test_words_of_a_line_are_counted_whatever_blanks_surround_them(spark):
+    good = "\n".join(prose(random.Random(i), 12) + "." for i in range(8))
+    texts = [good + "\nHome page\nNews today", good + "\r\nHome page\r\nNews today\r\n", good + "\n\tHome page\n\tNews today\x0b"]
+    assert [r.n_failed_lines for r in line_rules.line_rules(docs(spark, texts)).collect()] == [2, 2, 2]
+
+
 # ---- 3 ----------------------------------------------------------------------------------------------------------
 
 
-def test_parsing_table_against_plain_matching():
-    """Greedy longest matches, by substring search, block by block."""
+def _phrases(probe, clean):
+    """Greedy longest matches by substring search; a character that the text lacks is a phrase."""
+    i = n = 0
+    while i < len(probe):
+        j = i + 1
+        while j <= len(probe) and probe[i:j] in clean:
+            j += 1
+        i = max(i + 1, j - 1)
+        n += 1
+    return n
+
+
+@pytest.mark.parametrize("block,lanes", [(1024, 4096), (16, 7), (3, 1)])
+def test_phrases_against_plain_matching(monkeypatch, block, lanes):
+    """Exact phrases of whole texts, whatever the blocks; also where a match spans many of them."""
+    monkeypatch.setattr(cross_parse, "BLOCK", block)
+    monkeypatch.setattr(cross_parse, "_LANES", lanes)
     rng = random.Random(1)
-    text = "".join(rng.choice("abc ") for _ in range(300))
-    model = cross_parse.Model({"x": text})
-    clean = cross_parse._letters(text)
-    for _ in range(20):
-        probe = "".join(rng.choice("abcd ") for _ in range(rng.randint(1, 1500)))
-        want = 0
-        for at in range(0, len(probe), cross_parse.BLOCK):
-            block, i = probe[at : at + cross_parse.BLOCK], 0
-            while i < len(block):
-                j = i + 1
-                while j <= len(block) and block[i:j] in clean:
-                    j += 1
-                i = max(i + 1, j - 1)
-                want += 1
-        assert abs(int(model.phrases([probe])[0, 0]) - want) <= probe.count("d")
+    clean = cross_parse._letters("".join(rng.choice("abc ") for _ in range(300)))
+    model = cross_parse.Model({"x": clean, "y": "abcabcabc"})
+    probes = ["abcdabc", "abcddabc", "ddd", "a", clean[10:250] + "d" + clean[:90], clean]
+    probes += ["".join(rng.choice("abcd ") for _ in range(rng.randint(1, 400))) for _ in range(25)]
+    got = model.phrases(probes)
+    assert got[:3, 1].tolist() == [3, 4, 3]
+    assert got.tolist() == [[_phrases(p, clean), _phrases(p, "abcabcabc")] for p in probes]
 
 
 def test_many_scripts_keep_their_own_symbols():
@@ -148,17 +161,7 @@ def test_many_scripts_keep_their_own_symbols():
     probes = [(k, text(k, 30)) for k in scripts for _ in range(4)]
     assert model.predict([t for _, t in probes])[0] == [k for k, _ in probes]
     probes += [("", samples["zh"][100:400] + samples["el"][50:90]), ("", samples["ja"][7:300])]
-    for (_, probe), row in zip(probes, model.phrases([t for _, t in probes])):
-        for k, got in zip(model.languages, row.tolist()):
-            i = want = 0
-            while i < len(probe):
-                j = i + 1
-                while j <= len(probe) and probe[i:j] in samples[k]:
-                    j += 1
-                i = max(i + 1, j - 1)
-                want += 1
-            # As in one automaton: a character that the sample lacks ends the match before it, and is no phrase twice.
-            assert abs(got - want) <= sum(c not in samples[k] for c in probe)
+    assert model.phrases([t for _, t in probes]).tolist() == [[_phrases(t, samples[k]) for k in model.languages] for _, t in probes]
 
 
 def test_all_picked_rows_are_learned_from(spark):

@@ -43,7 +43,7 @@ MARGIN = 0.3  # bits a character
 MEDIAN, HIGH = 0.5, 0.95
 PRIOR = 100
 GROUP_CHARS = 32 << 20
-SLICE = 1 << 19
+SLICE = 1 << 18
 FEW_LANGUAGES = 100_000  # fences of so many languages are broadcast; more of them are joined by a shuffle
 _PAD = " " * (ORDER - 1)
 #: Odd multipliers: an n-gram's digest within its group is a sum over its code points.
@@ -133,7 +133,7 @@ def distinct_grams(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
         first = np.empty(len(u), np.int64)
         first[codes[::-1]] = places[::-1]
         held.append((u, *_keys(s, first), np.bincount(codes, minlength=len(u))))
-        if len(held) > 6:
+        if len(held) > 3:
             held = [merged()]
     return merged()
 
@@ -241,8 +241,12 @@ def sums(texts, answer) -> dict[int, float]:
     ``texts()``: an iterator over the texts; it is gone through twice, so that no more than a slice is held.
     """
     every, total = np.zeros(0, np.uint64), {}
+    held = []
     for _, _, g, _, _ in slices(texts()):
-        every = np.union1d(every, pd.unique(g))
+        held.append(pd.unique(g))
+        if len(held) > 7:
+            every, held = np.unique(np.concatenate([every, *held])), []
+    every = np.unique(np.concatenate([every, *held]))
     bits = answer(every).astype(np.float64)
     for owners, sizes, g, _, _ in slices(texts()):
         codes, u = pd.factorize(g)
@@ -277,11 +281,11 @@ def scores(df: DataFrame, trusted_ids: DataFrame, text: str = "text", keep: tupl
     """``row, bits, chars, trusted`` for each row of ``df``, written; ``row`` is a struct of the columns in ``keep``."""
     groups = grouped(df, text, keep)
     places = written(trusted_places(groups, trusted_ids), "kn-trusted")
-    counts = written(count_grams(groups, places), "kn-counts")
+    counts = written(count_grams(groups, places), "kn-counts", batch_rows=1)
     orders = smoothed(counts)
     forget(counts)
     asked = groups.select("grp", "blob").mapInArrow(_asked, "grp bigint, i int, a bigint, b bigint")
-    bits = written(bits_of(asked.select("a", "b").distinct(), orders), "kn-bits")
+    bits = written(bits_of(asked.select("a", "b").distinct(), orders), "kn-bits", batch_rows=1)
     answers = asked.join(bits.hint("merge"), ["a", "b"]).select("grp", F.struct("i", "bits").alias("x")).groupBy("grp").agg(F.collect_list("x").alias("x"))
     whole = groups.select("grp", "blob").join(places.hint("merge"), "grp", "left").join(answers.hint("merge"), "grp", "left")
     row = df.select(*(df.columns if keep is None else keep)).schema

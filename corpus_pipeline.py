@@ -15,14 +15,21 @@ from ledgerloom.llm import best_fit, fair_mix, kn_quality, secret_links, simhash
 from ledgerloom.llm.common import documents, repeated, written
 
 
+def _key(*digested: str):
+    """doc_id and a digest of the columns named."""
+    return F.struct("doc_id", F.xxhash64(*digested).alias("th")).alias("key")
+
+
 def _keyed(docs: DataFrame, *digested: str) -> DataFrame:
-    """``key, row``: the row, and a struct of doc_id and a digest of the columns named."""
-    return docs.select(F.struct("doc_id", F.xxhash64(*digested).alias("th")).alias("key"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    """``key, row``: the row's key and the row."""
+    return docs.select(_key(*digested), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity passes their language's fence."""
-    return kn_quality.classify(docs, kn_quality.trusted_ids(spark, sf_dir)).where("kept").select("row.*")
+    """Documents whose perplexity passes their language's fence.  Their keys alone go through the model's groups."""
+    judged = kn_quality.classify(docs.select("doc_id", "lang", "text", _key("text", "lang")), kn_quality.trusted_ids(spark, sf_dir), keep=("lang", "key"))
+    kept = judged.where("kept").select("row.key").distinct()
+    return _keyed(docs, "text", "lang").join(kept.hint("merge"), "key", "left_semi").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Written stages: they cut lineage and survive lost executors.
 
-The folder is the one the cluster names in spark.checkpoint.dir; where that is unset, one of our own (tests).
+The folder is the one the cluster names in spark.checkpoint.dir; where that is unset, one of our own, in local mode only.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found

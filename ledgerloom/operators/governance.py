@@ -148,13 +148,14 @@ def expand_macro(library: dict[str, list[tuple[str, int]]], entry: str) -> dict:
 def evidence_findings(reports: DataFrame, definitions: DataFrame, snapshot, required=None) -> DataFrame:
     """reports (report_id, check_id, check_revision, snapshot_identity, verdict) that are unbound, of another snapshot,
     or unresolved where required.  ``snapshot``: the expected identity; ``required``: a boolean Column."""
-    unbound = reports.join(definitions, ["check_id", "check_revision"], "left_anti")
-    other = reports.where(~F.col("snapshot_identity").eqNullSafe(snapshot))
-    open_ = reports.where((F.col("verdict") == "unresolved") & (F.lit(True) if required is None else required))
-    return every(
-        rule(unbound, "evidence-check-unbound", "report_id", "input"), rule(other, "evidence-snapshot-mismatch", "report_id", "input"),
-        rule(open_, "evidence-unresolved", "report_id", "evidence"),
-    )
+    named = reports.withColumn("subject", F.concat("check_id", F.lit("@"), F.col("check_revision").cast("string")))
+    # A report that settles nothing turns all its findings into matters of evidence.
+    named = named.withColumn("cls", F.when(F.col("verdict") == "unresolved", "evidence").otherwise("gates"))
+    unbound = named.join(definitions, ["check_id", "check_revision"], "left_anti")
+    other = named.where(~F.col("snapshot_identity").eqNullSafe(snapshot))
+    open_ = named.where((F.col("verdict") == "unresolved") & (F.lit(True) if required is None else required))
+    found = (("evidence-check-unbound", unbound), ("evidence-snapshot-mismatch", other), ("evidence-unresolved", open_))
+    return every(*(df.select(F.lit(code).alias("code"), "subject", "cls") for code, df in found))
 
 
 # ---- change plan ------------------------------------------------------------------------------------------------

@@ -356,9 +356,10 @@ _DEFS = "(VALUES " + ", ".join(map(str, A.DEFINED)) + ") v(check_id, check_revis
 
 
 @query("M07_evidence_findings", f"""WITH {A.REPORTS}
-SELECT 'evidence-check-unbound' AS code, report_id AS subject, 'input' AS cls FROM reports r WHERE NOT EXISTS (SELECT 1 FROM {_DEFS} WHERE v.check_id = r.check_id AND v.check_revision = r.check_revision)
-UNION ALL SELECT 'evidence-snapshot-mismatch', report_id, 'input' FROM reports WHERE snapshot_identity <> 'snap-1'
-UNION ALL SELECT 'evidence-unresolved', report_id, 'evidence' FROM reports WHERE verdict = 'unresolved' AND value > 5""")
+, named AS (SELECT *, check_id || '@' || check_revision AS subject, CASE WHEN verdict = 'unresolved' THEN 'evidence' ELSE 'gates' END AS cls FROM reports)
+SELECT 'evidence-check-unbound' AS code, subject, cls FROM named r WHERE NOT EXISTS (SELECT 1 FROM {_DEFS} WHERE v.check_id = r.check_id AND v.check_revision = r.check_revision)
+UNION ALL SELECT 'evidence-snapshot-mismatch', subject, cls FROM named WHERE snapshot_identity <> 'snap-1'
+UNION ALL SELECT 'evidence-unresolved', subject, cls FROM named WHERE verdict = 'unresolved' AND value > 5""")
 def m07(spark, d):
     defs = spark.createDataFrame(A.DEFINED, "check_id string, check_revision bigint")
     return V.evidence_findings(A.reports(spark, d), defs, F.lit("snap-1"), F.col("value") > 5)

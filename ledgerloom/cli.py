@@ -78,6 +78,15 @@ COMMANDS = {"planning": _planning, "index": _index, "select": _select, "explain"
 
 
 def run(argv: list[str], spark=None) -> int:
+    """Runs one command; whatever fails unexpectedly is an internal error with its exit code, not a traceback."""
+    try:
+        return _run(argv, spark)
+    except Exception as e:
+        print(f"error internal-error: {type(e).__name__}", file=sys.stderr)
+        return K.OUTCOMES.index("internal-error")
+
+
+def _run(argv: list[str], spark) -> int:
     call, found = parse_arguments(argv)
     if not found:
         try:

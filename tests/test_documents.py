@@ -126,3 +126,14 @@ def test_command_line(spark, tmp_path, capsys):
     assert json_files.embedded_digest_holds(json.dumps(document), "digest")
     path.write_text(json.dumps({"document": {**document, "a": 2}, "field": "digest"}))
     assert cli.run(["verify", "--input", str(path)], spark) == 1
+
+
+def test_unexpected_failures_are_contained(spark, monkeypatch, tmp_path, capsys):
+    def broken(spark, request):
+        raise RuntimeError("secret detail")
+
+    monkeypatch.setitem(cli.COMMANDS, "planning", broken)
+    path = tmp_path / "in.json"
+    path.write_text("{}")
+    assert cli.run(["planning", "--input", str(path)], spark) == 4
+    assert capsys.readouterr().err == "error internal-error: RuntimeError\n"

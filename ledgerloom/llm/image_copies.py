@@ -2,7 +2,8 @@
 
 Multiscale Harris corners, each with an orientation from its intensity centroid and 128 binary tests turned by it
 (brightness, contrast and rotation leave them alone).  Descriptors that differ in at most two bits are one visual word:
-any two such agree in one of three parts of 42 or 43 bits, the keys of the Hamming tables.  Geometric consensus: a corner
+any two such agree in one of three parts of 42 or 43 bits, the keys of the Hamming tables; crowded buckets are split by a
+piece of the other bits.  Geometric consensus: a corner
 and its two nearest neighbours of the same scale form a triangle; its key is the three words with the shape of the triangle (angles and
 the turn of each descriptor against the sides), which cropping, shifting, scaling and turning keep.  Images that share
 a key are linked, and a class is what links reach.
@@ -13,7 +14,8 @@ images.  Nothing is sampled or capped: a corner is a peak among its own neighbou
 allows.
 
 Images are binary PGM or PPM (P5, P6; 8 bits).  Defined results: null, empty or unreadable images have no corners and
-are a class of their own; images without corners likewise; equal rows share a class; an empty table gives none.
+are a class of their own; images without corners likewise; equal rows share a class; null ids are linked to nothing and
+have the class null; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ BITS = 128
 MAX_BITS = 2
 MIN_SIDE = 6.0
 SHAPE_BINS = 12
+HOT_BUCKET = 2000
 _HEADER = re.compile(rb"\s*(P[56])\s+(\d+)\s+(\d+)\s+(\d+)\s")
 
 
@@ -247,35 +250,74 @@ def _bucket_links(batches):
         yield links(pd.concat(held))
 
 
+def _mask(start: int, stop: int) -> int:
+    return (1 << stop) - (1 << start)
+
+
+def _part(lo: int, hi: int) -> str:
+    """SQL for a digest of the descriptor's bits under two masks of 64 bits."""
+    return "xxhash64({})".format(", ".join(f"{c} & {m - (1 << 64) if m >> 63 else m}L" for c, m in (("lo", lo), ("hi", hi))))
+
+
+#: Three parts of the 128 bits, as masks of both halves: the low 43 of each half, and the 42 high ones of both together.
+_PARTS = ((_mask(0, 43), 0), (0, _mask(0, 43)), (_mask(43, 64), _mask(43, 64)))
+#: The bits outside each part, in three pieces; two differences leave one of them equal.
+_PIECES = (
+    ((_mask(43, 64), _mask(0, 8)), (0, _mask(8, 36)), (0, _mask(36, 64))),
+    ((_mask(0, 28), 0), (_mask(28, 56), 0), (_mask(56, 64), _mask(43, 64))),
+    ((_mask(0, 28), 0), (_mask(28, 43), _mask(0, 15)), (0, _mask(15, 43))),
+)
+
+
 def visual_words(descriptors: DataFrame) -> DataFrame:
-    """``word, root``: for each distinct descriptor (lo, hi) that is close to another, its digest and its word's."""
-    # Three parts of the 128 bits: the low 43 of each half, and the 42 high ones of both together.
-    parts = ("lo & 8796093022207L", "(hi & 8796093022207L) | (1L << 60)", "shiftrightunsigned(lo, 43) | (shiftrightunsigned(hi, 43) << 21) | (2L << 60)")
-    index = descriptors.select("lo", "hi", F.explode(F.expr(f"array({', '.join(parts)})")).alias("key"))
-    found = index.repartition("key").sortWithinPartitions("key").mapInPandas(_bucket_links, "lo1 bigint, hi1 bigint, lo2 bigint, hi2 bigint")
-    return components(found.selectExpr("xxhash64(lo1, hi1) AS a", "xxhash64(lo2, hi2) AS b")).withColumnRenamed("node", "word")
+    """``word, root``: for each distinct descriptor (lo, hi) that is close to another, its digest and its word's.
+
+    A bucket of more than ``HOT_BUCKET`` descriptors is split by the pieces of its other bits, which loses no link.
+    """
+    parts = ", ".join(f"struct({t} AS t, {_part(*masks)} AS key)" for t, masks in enumerate(_PARTS))
+    index = descriptors.select("lo", "hi", F.expr(f"inline(array({parts}))"))
+    sizes = index.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = written(index.join(sizes, ["t", "key"]), "hamming-index")
+    pieces = ", ".join("CASE t {} END".format(" ".join(f"WHEN {t} THEN xxhash64(key, {k}, {_part(*_PIECES[t][k])})" for t in range(3))) for k in range(3))
+    hot = found.where(F.col("n") > HOT_BUCKET).select("lo", "hi", F.explode(F.expr(f"array({pieces})")).alias("key"))
+    rows = found.where(F.col("n") <= HOT_BUCKET).select("lo", "hi", F.expr("xxhash64(key, t)").alias("key")).unionByName(hot)
+    near = rows.repartition("key").sortWithinPartitions("key").mapInPandas(_bucket_links, "lo1 bigint, hi1 bigint, lo2 bigint, hi2 bigint")
+    return components(near.selectExpr("xxhash64(lo1, hi1) AS a", "xxhash64(lo2, hi2) AS b")).withColumnRenamed("node", "word")
 
 
 def image_copies(df: DataFrame, image: str = "image") -> DataFrame:
-    """``image_id, n_corners, class_id, n_keys`` for each row of ``df`` (image_id, image); class_id: smallest image_id."""
-    found = written(df.select("image_id", corner_column(F.col(image)).alias("corners")), "corners")
-    points = found.select("image_id", F.explode("corners").alias("c")).select("image_id", "c.*", F.xxhash64("c.lo", "c.hi").alias("own"))
+    """``image_id, n_corners, class_id, n_keys`` for each row of ``df`` (image_id, image); class_id: smallest image_id.
+
+    Rows of one image_id, or of none, with different images have keys of their own; ids link the former, nothing the latter.
+    """
+    found = written(df.select("image_id", F.xxhash64(image).alias("th"), corner_column(F.col(image)).alias("corners")), "corners")
+    points = found.select("th", F.explode("corners").alias("c")).select("th", "c.*", F.xxhash64("c.lo", "c.hi").alias("own"))
     roots = visual_words(points.select("lo", "hi").distinct()).select(F.col("word").alias("own"), "root")
-    named = points.join(roots, "own", "left").select("image_id", "level", "x", "y", "angle", F.coalesce("root", "own").alias("word"))
-    # Equal rows repeat an image's corners; a set keeps each once.
-    bags = named.groupBy("image_id").agg(F.array_sort(F.collect_set(F.struct("level", "y", "x", "angle", "word"))).alias("points"))
-    keys = written(bags.select("image_id", F.explode(triangle_column("points")).alias("key")), "triangles")
-    first = keys.where("image_id IS NOT NULL").groupBy("key").agg(F.min("image_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    links = keys.join(first, "key").where("image_id IS NOT NULL").select("a", F.col("image_id").alias("b")).distinct()
-    roots = components(links).select(F.col("node").alias("i"), "root")
-    sizes = found.select("image_id", F.size("corners").cast("long").alias("n_corners"))
-    counts = keys.groupBy(F.col("image_id").alias("k")).agg(F.count(F.lit(1)).alias("n_keys"))
-    out = sizes.join(roots, sizes.image_id == roots.i, "left").join(counts, sizes.image_id.eqNullSafe(counts.k), "left")
-    return out.select("image_id", "n_corners", F.coalesce("root", "image_id").alias("class_id"), F.coalesce("n_keys", F.lit(0).cast("long")).alias("n_keys"))
+    named = points.join(roots, "own", "left").select("th", "level", "x", "y", "angle", F.coalesce("root", "own").alias("word"))
+    # Equal images repeat the same corners; a set keeps each once.
+    whole = named.groupBy("th").agg(F.array_sort(F.collect_set(F.struct("level", "y", "x", "angle", "word"))).alias("points"))
+    keys = written(whole.select("th", F.explode(triangle_column("points")).alias("key")), "triangles")
+    ids = found.where("image_id IS NOT NULL").select("image_id", "th").distinct()
+    # Links by keys between images that have an id, through each key's first; links by equal images and by equal ids.
+    mine = keys.join(ids.select("th").distinct(), "th", "left_semi")
+    first = mine.groupBy("key").agg(F.min("th").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    near = mine.join(first, "key").where("a <> th").select("a", F.col("th").alias("b"))
+    same = ids.join(ids.groupBy("image_id").agg(F.min("th").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1"), "image_id").where("a <> th").select("a", F.col("th").alias("b"))
+    linked = components(near.unionByName(same).distinct()).select(F.col("node").alias("th"), "root")
+    rooted = ids.join(linked, "th", "left").select("image_id", "th", F.coalesce("root", "th").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("image_id").alias("class_id"))
+    classes = rooted.join(named, "root").select("image_id", "th", "class_id")
+    sizes = found.select("image_id", "th", F.size("corners").cast("long").alias("n_corners"))
+    counts = keys.groupBy("th").agg(F.count(F.lit(1)).alias("n_keys"))
+    out = sizes.join(classes, ["image_id", "th"], "left").join(counts, "th", "left")
+    # Images without corners are equal to nothing but their own row.
+    alone = F.expr("CASE WHEN n_corners = 0 THEN image_id ELSE coalesce(class_id, image_id) END")
+    return out.select("image_id", "n_corners", alone.alias("class_id"), F.coalesce("n_keys", F.lit(0).cast("long")).alias("n_keys"))
 
 
 CELL, COLUMNS = 4, 24
-#: Blank pixels round a sheet, so that every pixel of a word can be a corner, however few rows a page has.
+#: Mirrored pixels round a sheet, so that every pixel of a word can be a corner, however few rows a page has.  A blank
+#: margin would give the corners near it like descriptors on all pages.
 MARGIN = RADIUS + 1
 
 
@@ -292,12 +334,12 @@ def _sheets(texts: list[str | None]) -> list[bytes | None]:
         rows = -(-len(words) // COLUMNS)
         sheet = np.zeros((rows * COLUMNS, CELL, CELL), np.uint8)
         sheet[: len(cells)] = cells
-        out.append(encode(np.pad(sheet.reshape(rows, COLUMNS, CELL, CELL).transpose(0, 2, 1, 3).reshape(rows * CELL, COLUMNS * CELL), MARGIN)))
+        out.append(encode(np.pad(sheet.reshape(rows, COLUMNS, CELL, CELL).transpose(0, 2, 1, 3).reshape(rows * CELL, COLUMNS * CELL), MARGIN, mode="reflect")))
     return out
 
 
 #: A raster of a text: each word is a cell whose texture its digest fixes, in reading order, COLUMNS to a row,
-#: within a blank margin.
+#: within a mirrored margin.
 page_image = text_udf(T.BinaryType(), _sheets)
 
 

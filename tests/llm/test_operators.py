@@ -534,3 +534,32 @@ def test_contract_digests(spark):
     row = secret_links.scan(docs(spark, [text])).first()
     assert [(s.k, s.start, s.end) for s in row.base] == [(0, 0, 13), (1, 14, 34)]
     assert hashlib.sha256(b"assign:0:13,access:14:34").hexdigest() == hashlib.sha256(",".join(f"{secret_links.KINDS[s.k]}:{s.start}:{s.end}" for s in row.base).encode()).hexdigest()
+
+
+def test_split_hamming_buckets_lose_no_link(spark, monkeypatch):
+    """The words of crowded buckets are those of a comparison of every pair; null ids do not pool their images."""
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 2, (40, 128))
+    rows = []
+    for bits in base:
+        for _ in range(5):
+            other = bits.copy()
+            other[rng.choice(128, int(rng.integers(0, 4)), replace=False)] ^= 1
+            rows.append(np.packbits(other).view("<i8"))
+    x = np.unique(np.array(rows), axis=0)
+    monkeypatch.setattr(image_copies, "HOT_BUCKET", 1)
+    df = spark.createDataFrame([tuple(r) for r in x.tolist()], "lo bigint, hi bigint")
+    got = df.select("lo", "hi", F.xxhash64("lo", "hi").alias("word")).join(image_copies.visual_words(df), "word", "left").collect()
+    root = {(r.lo, r.hi): r.word if r.root is None else r.root for r in got}
+    u = x.view(np.uint64)
+    d = np.bitwise_count(u[:, None] ^ u[None]).sum(axis=2)
+    reach = d <= image_copies.MAX_BITS
+    for _ in range(8):
+        reach = (reach.astype(int) @ reach.astype(int)) > 0
+    same = np.array([[root[tuple(a)] == root[tuple(b)] for b in x.tolist()] for a in x.tolist()])
+    assert (same == reach).all() and reach.sum() > len(x)
+    a, b = _image(rng), _image(rng)
+    pair = [(None, bytearray(image_copies.encode(a))), (None, bytearray(image_copies.encode(b))), (4, bytearray(image_copies.encode(a)))]
+    out = image_copies.image_copies(spark.createDataFrame(pair, "image_id bigint, image binary")).collect()
+    assert sorted(r.class_id for r in out if r.image_id is not None) == [4] and sum(r.class_id is None for r in out) == 2
+    assert sorted(r.n_corners for r in out) == sorted([len(image_copies.corners(image_copies.decode(image_copies.encode(i)))) for i in (a, a, b)])

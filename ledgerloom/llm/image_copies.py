@@ -41,6 +41,7 @@ MAX_BITS = 2
 MIN_SIDE = 6.0
 SHAPE_BINS = 12
 HOT_BUCKET = 2000
+FEW_BUCKETS = 200_000  # so many crowded buckets are broadcast; more of them are joined by a shuffle
 _HEADER = re.compile(rb"\s*(P[56])\s+(\d+)\s+(\d+)\s+(\d+)\s")
 
 
@@ -276,11 +277,11 @@ def visual_words(descriptors: DataFrame) -> DataFrame:
     """
     parts = ", ".join(f"struct({t} AS t, {_part(*masks)} AS key)" for t, masks in enumerate(_PARTS))
     index = descriptors.select("lo", "hi", F.expr(f"inline(array({parts}))"))
-    sizes = index.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    found = written(index.join(sizes, ["t", "key"]), "hamming-index")
+    hot = written(index.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_BUCKET), "hot-buckets")
+    few = hot.count() <= FEW_BUCKETS
+    found = index.join(hot.hint("broadcast" if few else "merge"), ["t", "key"], "left")
     pieces = ", ".join("CASE t {} END".format(" ".join(f"WHEN {t} THEN xxhash64(key, {k}, {_part(*_PIECES[t][k])})" for t in range(3))) for k in range(3))
-    hot = found.where(F.col("n") > HOT_BUCKET).select("lo", "hi", F.explode(F.expr(f"array({pieces})")).alias("key"))
-    rows = found.where(F.col("n") <= HOT_BUCKET).select("lo", "hi", F.expr("xxhash64(key, t)").alias("key")).unionByName(hot)
+    rows = found.select("lo", "hi", F.explode(F.expr(f"CASE WHEN n IS NULL THEN array(xxhash64(key, t)) ELSE array({pieces}) END")).alias("key"))
     near = rows.repartition("key").sortWithinPartitions("key").mapInPandas(_bucket_links, "lo1 bigint, hi1 bigint, lo2 bigint, hi2 bigint")
     return components(near.selectExpr("xxhash64(lo1, hi1) AS a", "xxhash64(lo2, hi2) AS b")).withColumnRenamed("node", "word")
 

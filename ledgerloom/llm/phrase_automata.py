@@ -228,10 +228,11 @@ def _cut(window: int, anchor: int):
             for grp, blob, recurring in zip(*(batch.column(c) for c in ("grp", "blob", "anchors"))):
                 coded = Coded(group_texts(blob))
                 found = stretches(coded, recurring.values.to_numpy(), window, anchor)
+                # A stretch is named by the place of its first window, which no other of its group has.
                 for at in range(0, len(found), 5000):
                     some = found[at : at + 5000]
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([x[0] for x in some], pa.int64()), pa.array([grp.as_py()] * len(some), pa.int64()), pa.array(range(at, at + len(some)), pa.int32()),
+                        pa.array([x[0] for x in some], pa.int64()), pa.array([grp.as_py()] * len(some), pa.int64()), pa.array([x[1] for x in some], pa.int32()),
                         pa.array([coded.text(x[1], x[1] + x[2] + window - 1) for x in some], pa.binary()), pa.array([x[3] for x in some], pa.int64()),
                     ], ["a", "grp", "i", "stretch", "n"])
 
@@ -290,22 +291,19 @@ def _confirmed(window: int):
     return of
 
 
-def _without(window: int, anchor: int, schema: pa.Schema):
+def _without(window: int, schema: pa.Schema):
     def of(batches):
         for batch in batches:
-            for blob, recurring, covers in zip(*(batch.column(c) for c in ("blob", "anchors", "covers"))):
+            for blob, covers in zip(batch.column("blob"), batch.column("covers")):
                 coded = Coded(group_texts(blob))
                 places: dict[int, set[int]] = {}
                 for cover in covers.as_py() or []:
                     for lo, hi in zip(cover["runs"][::2], cover["runs"][1::2]):
                         places.setdefault(cover["i"], set()).update(range(lo, hi))
                 passages = []
-                if places:
-                    found = stretches(coded, recurring.values.to_numpy(), window, anchor)
-                    for i, own in places.items():
-                        runs, start = _runs(sorted(own)), found[i][1]
-                        passages += [coded.ids[start + lo : start + hi + window - 1] for lo, hi in zip(runs[::2], runs[1::2])]
-                    del found
+                for start, own in sorted(places.items()):
+                    runs = _runs(sorted(own))
+                    passages += [coded.ids[start + lo : start + hi + window - 1] for lo, hi in zip(runs[::2], runs[1::2])]
                 gone = located(coded, passages)
                 starts, doc = (coded.ends - coded.sizes).tolist(), 0
                 for part in group_parts(blob):
@@ -342,10 +340,10 @@ def dedup_passages(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, te
     forget(cut)
     forget(many)
     covers = written(covers.groupBy("grp").agg(F.collect_list(F.struct("i", "runs")).alias("covers")), "group-covers")
-    whole = groups.select("grp", "blob").join(recurring.hint("merge"), "grp", "left").join(covers.hint("merge"), "grp", "left")
+    whole = groups.select("grp", "blob").join(covers.hint("merge"), "grp", "left")
     row = df.select(*(df.columns if keep is None else keep)).schema
     kind = T.StructType([T.StructField("row", row), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-    return whole.select("blob", "anchors", "covers").mapInArrow(_without(window, anchor, to_arrow_schema(kind)), kind)
+    return whole.select("blob", "covers").mapInArrow(_without(window, to_arrow_schema(kind)), kind)
 
 
 def query(spark, sf_dir):

@@ -30,12 +30,13 @@ from itertools import accumulate
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import documents, forget, group_parts, group_texts, packed_groups, written
+from .common import documents, forget, group_parts, packed_groups, written
 
 WINDOW = 35
 ANCHOR = 8
@@ -49,28 +50,49 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Coded:
-    """Texts as places in a list of their distinct words."""
+    """Texts as places in a list of their distinct words, in the order in which those are found.
 
-    def __init__(self, texts):
-        vocabulary: dict[bytes, int] = {}
-        found = []
-        for text in texts:
-            words = text.encode("utf-8", "surrogatepass").split() if text else []
-            found.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int32))
-        self.words = list(vocabulary)
-        self.sizes = np.array([len(x) for x in found], np.int64)
-        self.ends = np.cumsum(self.sizes)
-        self.ids = np.concatenate([np.zeros(0, np.int32), *found])
+    ``texts``: arrays of strings, or strings.  Words are split and numbered column-wise; no loop goes over words.
+    """
 
-    def text(self, start: int, stop: int) -> bytes:
-        return b" ".join([self.words[i] for i in self.ids[start:stop].tolist()])
+    def __init__(self, texts):
+        arrays = [t if isinstance(t, pa.Array) else pa.array([t], pa.string()) for t in texts]
+        lists = [pc.ascii_split_whitespace(pc.fill_null(a, "")) for a in arrays]
+        coded = pa.chunked_array([x.flatten() for x in lists], pa.string()).dictionary_encode()
+        self.words: pa.Array = coded.chunk(0).dictionary if coded.num_chunks else pa.array([], pa.string())
+        ids = np.concatenate([np.zeros(0, np.int32), *[c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks]])
+        sizes = np.concatenate([np.zeros(0, np.int64), *[pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in lists]])
+        # Blanks at either end of a text leave an empty word, which is none.
+        empty = pc.index(self.words, "").as_py()
+        if empty >= 0:
+            word = ids != empty
+            ends = np.cumsum(sizes)
+            before = np.concatenate([[0], np.cumsum(word)])
+            sizes = before[ends] - before[ends - sizes]
+            ids = ids[word]
+        self.ids, self.sizes, self.ends = ids, sizes, np.cumsum(sizes)
+
+    def texts(self, starts: np.ndarray, sizes: np.ndarray, kept: np.ndarray | None = None) -> pa.Array:
+        """The words of each stretch (its first word's place, its words), or those ``kept`` marks, joined by spaces."""
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        places = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], sizes)
+        if kept is not None:
+            stay = kept[places]
+            offsets = np.concatenate([[0], np.cumsum(stay)])[offsets]
+            places = places[stay]
+        words = self.words.cast(pa.large_string()).take(pa.array(self.ids[places]))
+        return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets), words), pa.scalar(" ", pa.large_string()))
+
+
+def _of_group(blob: pa.Scalar) -> Coded:
+    return Coded([part.column("t") for part in group_parts(blob)])
 
 
 def anchors(coded: Coded, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(digest, first window, windows) of each anchor; every window of the texts is counted at one anchor."""
     import xxhash
 
-    digest = np.array([xxhash.xxh64_intdigest(w) for w in coded.words], np.uint64)
+    digest = np.array([xxhash.xxh64_intdigest(w) for w in coded.words.to_pylist()], np.uint64)
     out = [(np.zeros(0, np.int64),) * 3]
     cuts, doc = [0], 0
     while cuts[-1] < len(coded.ids):
@@ -216,7 +238,7 @@ def _counted(window: int, anchor: int):
     def of(batches):
         for batch in batches:
             for grp, blob in zip(batch.column("grp"), batch.column("blob")):
-                a, n = np.unique(anchors(Coded(group_texts(blob)), window, anchor)[0], return_counts=True)
+                a, n = np.unique(anchors(_of_group(blob), window, anchor)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), grp.as_py(), np.int64)), pa.array(a), pa.array(n.astype(np.int32))], ["grp", "a", "n"])
 
     return of
@@ -226,14 +248,15 @@ def _cut(window: int, anchor: int):
     def of(batches):
         for batch in batches:
             for grp, blob, recurring in zip(*(batch.column(c) for c in ("grp", "blob", "anchors"))):
-                coded = Coded(group_texts(blob))
+                coded = _of_group(blob)
                 found = stretches(coded, recurring.values.to_numpy(), window, anchor)
                 # A stretch is named by the place of its first window, which no other of its group has.
                 for at in range(0, len(found), 5000):
                     some = found[at : at + 5000]
+                    texts = coded.texts(np.array([x[1] for x in some]), np.array([x[2] for x in some]) + window - 1)
                     yield pa.RecordBatch.from_arrays([
                         pa.array([x[0] for x in some], pa.int64()), pa.array([grp.as_py()] * len(some), pa.int64()), pa.array([x[1] for x in some], pa.int32()),
-                        pa.array([coded.text(x[1], x[1] + x[2] + window - 1) for x in some], pa.binary()), pa.array([x[3] for x in some], pa.int64()),
+                        texts.cast(pa.large_binary()).cast(pa.binary()), pa.array([x[3] for x in some], pa.int64()),
                     ], ["a", "grp", "i", "stretch", "n"])
 
     return of
@@ -295,7 +318,7 @@ def _without(window: int, schema: pa.Schema):
     def of(batches):
         for batch in batches:
             for blob, covers in zip(batch.column("blob"), batch.column("covers")):
-                coded = Coded(group_texts(blob))
+                coded = _of_group(blob)
                 places: dict[int, set[int]] = {}
                 for cover in covers.as_py() or []:
                     for lo, hi in zip(cover["runs"][::2], cover["runs"][1::2]):
@@ -305,17 +328,15 @@ def _without(window: int, schema: pa.Schema):
                     runs = _runs(sorted(own))
                     passages += [coded.ids[start + lo : start + hi + window - 1] for lo, hi in zip(runs[::2], runs[1::2])]
                 gone = located(coded, passages)
-                starts, doc = (coded.ends - coded.sizes).tolist(), 0
+                starts, doc = coded.ends - coded.sizes, 0
+                kept, counts = ~gone, np.concatenate([[0], np.cumsum(gone)])
                 for part in group_parts(blob):
-                    n_words, n_removed, kept = [], [], []
-                    for _ in range(part.num_rows):
-                        ids, out = coded.ids[starts[doc] : coded.ends[doc]], gone[starts[doc] : coded.ends[doc]]
-                        n_words.append(len(ids))
-                        n_removed.append(int(out.sum()))
-                        kept.append(b" ".join([coded.words[i] for i in ids[~out].tolist()]).decode("utf-8", "surrogatepass"))
-                        doc += 1
+                    first, n_words = starts[doc : doc + part.num_rows], coded.sizes[doc : doc + part.num_rows]
+                    doc += part.num_rows
+                    n_removed = counts[first + n_words] - counts[first]
                     row = part.column("row").cast(schema.field("row").type)
-                    yield pa.RecordBatch.from_arrays([row, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], schema=schema)
+                    texts = coded.texts(first, n_words, kept).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([row, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), texts], schema=schema)
 
     return of
 

@@ -329,6 +329,26 @@ def test_passages_against_all_windows(spark, monkeypatch, hot):
     assert sorted((r.row.text or "", r.kept_text) for r in none) == sorted(zip([t or "" for t in texts], want))
 
 
+def test_words_of_coded_texts():
+    """The words and their places are those of the word grammar, whatever blanks there are; stretches give them back."""
+    import pyarrow as pa
+
+    rng = random.Random(21)
+    signs = [" ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\u00a0", "\u2003", "a", "é", "字"]
+    texts = [None, "", " ", "a", " a", "a ", *("".join(rng.choice(signs) for _ in range(rng.randint(1, 40))) for _ in range(300))]
+    words = [WORD.findall(t or "") for t in texts]
+    for given in (texts, [pa.array(texts[:7], pa.string()), pa.array([], pa.string()), pa.array(texts, pa.string()).slice(7)]):
+        coded = phrase_automata.Coded(given)
+        assert coded.sizes.tolist() == [len(w) for w in words]
+        assert coded.words.take(pa.array(coded.ids)).to_pylist() == [x for w in words for x in w]
+        assert coded.texts(coded.ends - coded.sizes, coded.sizes).to_pylist() == [" ".join(w) for w in words]
+        kept = np.array([i % 3 > 0 for i in range(len(coded.ids))])
+        want = [" ".join(x for j, x in enumerate(w, int(e) - len(w)) if j % 3 > 0) for w, e in zip(words, coded.ends)]
+        assert coded.texts(coded.ends - coded.sizes, coded.sizes, kept).to_pylist() == want
+    for none in ([], [pa.array([], pa.string())]):
+        assert phrase_automata.Coded(none).sizes.tolist() == [] and len(phrase_automata.anchors(phrase_automata.Coded(none))[0]) == 0
+
+
 def test_located_in_many_shards(monkeypatch):
     """Every occurrence of every passage, by plain search, whatever the size of the automata."""
     rng = random.Random(12)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import documents, sql_regex, written
 
 SCOPE = 200
+CHUNK = 128  # spans of a text that are handled together; results do not depend on it
 
 
 def _either_case(words: str) -> str:
@@ -52,12 +53,16 @@ def _spans(kind: str) -> str:
         "assign": f"length(regexp_extract(y.m, {regex}, 2)) >= 6",
         "opaque": "y.m rlike '[0-9]' AND y.m rlike '[a-z]' AND y.m rlike '[A-Z]'",
     }.get(kind)
-    step = "named_struct('at', a.at + length(x.g) + length(x.m), 'out', concat(a.out, array(named_struct('start', a.at + length(x.g), 'end', a.at + length(x.g) + length(x.m), 'm', x.m))))"
-    start = "named_struct('at', 0L, 'out', cast(array() as array<struct<start:bigint,end:bigint,m:string>>))"
-    found = f"aggregate(arrays_zip(slice(split(t, {regex}), 1, size(m)) AS g, m), {start}, (a, x) -> {step}, a -> a.out)"
-    # regexp_extract_all runs first; texts without a match are not split.
-    found = f"transform(array(regexp_extract_all(t, {regex}, 0)), m -> CASE WHEN size(m) = 0 THEN cast(array() as array<struct<start:bigint,end:bigint,m:string>>) ELSE {found} END)[0]"
-    found = found.replace("arrays_zip(slice(", "zip_with(slice(").replace(" AS g, m)", ", m, (g, m) -> named_struct('g', g, 'm', m))")
+    span = "array<struct<start:bigint,end:bigint,m:string>>"
+    # regexp_extract_all runs first; texts without a match are not split.  Positions are running sums, in two levels: an
+    # array grows by CHUNK matches, and one of such arrays by one, so that a text's matches are not copied each time.
+    pairs = f"zip_with(slice(split(t, {regex}), 1, size(m)), m, (g, m) -> named_struct('g', g, 'm', m))"
+    chunks = f"transform(array({pairs}), z -> transform(sequence(0L, (size(z) - 1) div {CHUNK}), i -> slice(z, cast(i * {CHUNK} + 1 as int), {CHUNK})))[0]"
+    step = "named_struct('at', b.at + length(x.g) + length(x.m), 'out', concat(b.out, array(named_struct('start', b.at + length(x.g), 'end', b.at + length(x.g) + length(x.m), 'm', x.m))))"
+    part = f"aggregate(c, named_struct('at', a.at, 'out', cast(array() as {span})), (b, x) -> {step})"
+    grown = f"transform(array({part}), y -> named_struct('at', y.at, 'out', concat(a.out, array(y.out))))[0]"
+    found = f"aggregate({chunks}, named_struct('at', 0L, 'out', cast(array() as array<{span}>)), (a, c) -> {grown}, a -> flatten(a.out))"
+    found = f"transform(array(regexp_extract_all(t, {regex}, 0)), m -> CASE WHEN size(m) = 0 THEN cast(array() as {span}) ELSE {found} END)[0]"
     kept = f"filter({found}, y -> {rule})" if rule else found
     return f"transform({kept}, y -> named_struct('start', y.start, 'end', y.end, 'k', {k}))"
 
@@ -68,7 +73,11 @@ def _rows(df: DataFrame, text: str, name: str) -> DataFrame:
     step = step.select("doc_id", "t", F.xxhash64("t").alias("th"), *[F.expr(_spans(k)).alias(k) for k in KINDS])
     step = step.withColumn("base", F.expr("sort_array(concat(assign, access, hex))"))
     # An opaque token or a login within a strong find is that find.
-    outside = "filter({0}, x -> NOT exists(base, b -> b.start < x.end AND x.start < b.end))"
+    # Strong finds are met in chunks of neighbours, each with its bounds.
+    bounds = "named_struct('lo', get(p, 0).start, 'hi', array_max(transform(p, y -> y.end)), 'p', p)"
+    step = step.withColumn("near", F.expr(f"transform(transform(sequence(0L, (size(base) - 1) div {CHUNK}), i -> slice(base, cast(i * {CHUNK} + 1 as int), {CHUNK})), p -> {bounds})"))
+    meets = "exists(near, c -> c.lo < x.end AND x.start < c.hi AND exists(c.p, b -> b.start < x.end AND x.start < b.end))"
+    outside = "filter({0}, x -> NOT coalesce(" + meets + ", false))"
     weak = f"concat({outside.format('login')}, {outside.format('opaque')}, endpoint)"
     slim = step.select("doc_id", "th", "base", F.expr(f"cast({weak} as {_SPANS})").alias("weak"))
     return written(slim, name)

@@ -292,6 +292,30 @@ def test_secret_spans_and_links(spark):
     assert clean[0] == f"[SECRET]\" and API_KEY:abc and secret=tok:abcdefgh [SECRET] x [SECRET]" and clean[2] == texts[2]
 
 
+def test_secrets_of_a_text_with_many(spark):
+    """Positions of thousands of spans in one text, and weak ones within strong ones, by plain search."""
+    rng = random.Random(31)
+    def some(signs, n):
+        return "".join(rng.choice(signs) for _ in range(n))
+    makes = [
+        lambda: "password=" + some("abcXYZ019", rng.randint(3, 12)), lambda: "AKIA" + some("QRST0123", rng.randint(10, 20)), lambda: some("0123456789abcdef", rng.randint(20, 40)),
+        lambda: "user: " + some("abc.", rng.randint(2, 9)), lambda: some("abcABC019_", rng.randint(15, 60)), lambda: "tok" + some("éa字", 3), lambda: "token='user=" + some("abc", 7),
+    ]
+    text = " ".join(rng.choice(makes)() for _ in range(20_000))
+    rows = secret_links._rows(docs(spark, [text, "", None, "user=bob"]), "text", "many").collect()
+    for r in rows:
+        t = {0: text, 3: "user=bob"}.get(r.doc_id, "")
+        want = {k: [m for m in re.finditer(p.replace("\\x20", " "), t)] for k, p in secret_links.PATTERNS.items()}
+        want["assign"] = [m for m in want["assign"] if len(m[2]) >= 6]
+        want["opaque"] = [m for m in want["opaque"] if all(re.search(c, m[0]) for c in ("[0-9]", "[a-z]", "[A-Z]"))]
+        base = sorted((*m.span(), secret_links.KINDS.index(k)) for k in secret_links.BASE for m in want[k])
+        taken = np.zeros(len(t) + 1, bool)
+        for a, b, _ in base:
+            taken[a:b] = True
+        weak = [(*m.span(), secret_links.KINDS.index(k)) for k in ("login", "opaque", "endpoint") for m in want[k] if k == "endpoint" or not taken[m.start() : m.end()].any()]
+        assert [tuple(x) for x in r.base] == base and sorted(tuple(x) for x in r.weak) == sorted(weak)
+
+
 # ---- 8 ----------------------------------------------------------------------------------------------------------
 
 

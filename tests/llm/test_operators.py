@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -607,3 +608,72 @@ def test_split_hamming_buckets_lose_no_link(spark, monkeypatch):
     out = image_copies.image_copies(spark.createDataFrame(pair, "image_id bigint, image binary")).collect()
     assert sorted(r.class_id for r in out if r.image_id is not None) == [4] and sum(r.class_id is None for r in out) == 2
     assert sorted(r.n_corners for r in out) == sorted([len(image_copies.corners(image_copies.decode(image_copies.encode(i)))) for i in (a, a, b)])
+
+
+def _plain_keys(table, word):
+    """An image's triangles, one corner at a time: of each, the words and the shape of its two nearest of the same level."""
+    keys = set()
+    for level in {r[0] for r in table}:
+        some = [(r, w) for r, w in zip(table, word) if r[0] == level]
+        for i, (r, _) in enumerate(some):
+            far = sorted(((q[1] - r[1]) ** 2 + (q[2] - r[2]) ** 2, j) for j, (q, _) in enumerate(some))
+            far = [j for d, j in far if d >= (4 * image_copies.MIN_SIDE) ** 2][:2]
+            if len(far) < 2:
+                continue
+            three = sorted([some[i], *(some[j] for j in far)], key=lambda x: x[1])
+            apart = np.hypot(*(np.array(some[far[0]][0][1:3]) - some[far[1]][0][1:3]))
+            if apart < 4 * image_copies.MIN_SIDE or len({w for _, w in three}) < 3:
+                continue
+            key = []
+            for p in range(3):
+                (a, w), (b, _), (c, _) = (three[(p + k) % 3] for k in range(3))
+                u, v = (b[1:3] - a[1:3]) / 4, (c[1:3] - a[1:3]) / 4
+                turns = (np.arctan2(u[0] * v[1] - u[1] * v[0], u @ v), a[3] / 1000 - np.arctan2(u[1], u[0]))
+                key += [w, *(int(np.rint(x / (2 * np.pi) * image_copies.SHAPE_BINS)) % image_copies.SHAPE_BINS for x in turns)]
+            keys.add(tuple(key))
+    return keys
+
+
+def test_classes_and_keys_are_those_of_all_pairs_however_the_images_are_grouped(spark):
+    """Words, triangles and classes by brute force; an id's empty image links it to no other id."""
+    rng = np.random.default_rng(21)
+    images = [_image(rng)[:70, :90] for _ in range(4)]
+    images += [images[0][10:, 5:], np.rot90(images[1]), np.vstack([images[2][:45], images[3][:45]]), images[0] + rng.normal(0, 2, images[0].shape), images[2]]
+    data = [image_copies.encode(a) for a in images]
+    rows = [(i, bytearray(x)) for i, x in enumerate(data)] + [(0, None), (1, None), (None, bytearray(data[0])), (20, None)]
+    tables = [image_copies.corners(image_copies.decode(x)) for x in data]
+    together = image_copies.corner_tables([image_copies.decode(x) for x in data])
+    assert all(np.array_equal(a, b) for a, b in zip(tables, together)) and all(len(t) >= 10 for t in tables)
+
+    flat = np.concatenate(tables)
+    bits = np.ascontiguousarray(flat[:, 4:]).view(np.uint64)
+    label = np.arange(len(flat))
+    near = np.bitwise_count(bits[:, None] ^ bits[None]).sum(axis=2) <= image_copies.MAX_BITS
+    for _ in range(20):
+        label = np.where(near, label[None], len(flat)).min(axis=1)
+    digest = spark.createDataFrame(flat[:, 4:].tolist(), "lo bigint, hi bigint").select(F.xxhash64("lo", "hi")).collect()
+    word = np.array([min(digest[j][0] for j in np.flatnonzero(label == x)) for x in label])
+    ends = np.cumsum([0, *map(len, tables)])
+    keys = [_plain_keys(t, word[a:b].tolist()) for t, a, b in zip(tables, ends, ends[1:])]
+    of = list(range(len(images)))
+    for _ in of:
+        of = [min(of[j] for j in range(len(images)) if j == i or data[i] == data[j] or keys[i] & keys[j]) for i in range(len(images))]
+    assert len(set(of)) > 1 and of[4] == of[0] == 0 and of[8] == 2
+    want = sorted([(i, len(tables[i]), of[i], len(keys[i])) for i in range(len(images))] + [(0, 0, 0, 0), (1, 0, 1, 0), (20, 0, 20, 0)])
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows, "image_id bigint, image binary").repartition(parts)
+        assert image_copies.image_groups(df).count() <= parts  # a row for many images, none for each corner
+        got = [tuple(r) for r in image_copies.image_copies(df).collect()]
+        assert sorted(r for r in got if r[0] is not None) == want
+        assert [r[1:] for r in got if r[0] is None] == [(len(tables[0]), None, len(keys[0]))]
+
+
+def test_the_triangles_of_a_large_image_need_no_table_of_all_pairs():
+    rng = np.random.default_rng(4)
+    n = 4000
+    table = np.column_stack([np.zeros(n), rng.integers(0, 40_000, (n, 2)), rng.integers(-3000, 3000, n), np.arange(n)]).astype(np.int64)
+    tracemalloc.start()
+    of, key = image_copies.triangles(np.zeros(n, np.int64), table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(key) > n // 2 and not of.any() and peak < 64e6  # a table of 4000 x 4000 takes 128 MB

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import uuid
 
 import pyarrow as pa
@@ -106,19 +107,24 @@ def bucketed(df: DataFrame, key: str, name: str, batch_rows: int | None = None)
 _GROUP_ROWS = 512
 
 
+def release() -> None:
+    """Gives what a Python worker has freed back to the system: workers live on between tasks, beside the next ones."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError, TypeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _packed(chars: int, prepare):
     def of(batches):
         """Rows (row, id, t) to groups: (grp, ids, blob), blob an Arrow stream of (row, t)."""
         task, number = TaskContext.get().partitionId() << 24, 0
-        ids, held, size = [], [], 0
+        ids, sink, out, size = [], None, None, 0
 
         def group() -> pa.RecordBatch:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
-                for part in held:
-                    out.write_batch(part)
-            lists = pa.array([pa.concat_arrays(ids)], pa.list_(ids[0].type))
-            return pa.RecordBatch.from_arrays([pa.array([task + number], pa.int64()), lists, pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["grp", "ids", "blob"])
+            out.close()
+            lists, blob = pa.array([pa.concat_arrays(ids)], pa.list_(ids[0].type)), sink.getvalue()
+            blob = pa.Array.from_buffers(pa.binary(), 1, [None, pa.array([0, blob.size], pa.int32()).buffers()[1], blob])
+            return pa.RecordBatch.from_arrays([pa.array([task + number], pa.int64()), lists, blob], ["grp", "ids", "blob"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, _GROUP_ROWS):
@@ -126,14 +132,22 @@ def _packed(chars: int, prepare):
                 texts = part.column("t").cast(pa.string())
                 if prepare is not None:
                     texts = pa.array([prepare(t) for t in texts.to_pylist()], pa.string())
-                ids.append(part.column("id"))
-                held.append(pa.RecordBatch.from_arrays([part.column("row"), texts], ["row", "t"]))
+                # Copied, or else it keeps its whole batch, and compressed at once: a group is held as its blob alone.
+                ids.append(pa.concat_arrays([part.column("id"), part.column("id").slice(0, 0)]))
+                part = pa.RecordBatch.from_arrays([part.column("row"), texts], ["row", "t"])
+                if out is None:
+                    sink = pa.BufferOutputStream()
+                    out = pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6)))
+                out.write_batch(part)
                 size += texts.nbytes
                 if size >= chars:
                     yield group()
-                    ids, held, size, number = [], [], 0, number + 1
-        if held:
+                    ids, sink, out, size, number = [], None, None, 0, number + 1
+                    release()
+        if out is not None:
             yield group()
+            ids, sink, out = [], None, None
+        release()
 
     return of
 

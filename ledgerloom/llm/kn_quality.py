@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import documents, forget, group_parts, group_texts, packed_groups, written
+from .common import documents, forget, group_parts, group_texts, packed_groups, release, written
 
 ORDER = 5
 SPREAD = 3.0
@@ -44,6 +44,7 @@ MEDIAN, HIGH = 0.5, 0.95
 PRIOR = 100
 GROUP_CHARS = 32 << 20
 SLICE = 1 << 18
+PIECE = 1 << 16
 FEW_LANGUAGES = 100_000  # fences of so many languages are broadcast; more of them are joined by a shuffle
 _PAD = " " * (ORDER - 1)
 #: Odd multipliers: an n-gram's digest within its group is a sum over its code points.
@@ -121,21 +122,30 @@ def _keys(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def distinct_grams(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(digest, a, b, occurrences) of each n-gram of the texts, sorted by digest."""
-    held = [(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)]
-
-    def merged():
-        g, a, b, n = (np.concatenate(x) for x in zip(*held))
-        u, first, codes = np.unique(g, return_index=True, return_inverse=True)
-        return u, a[first], b[first], np.bincount(codes, n, len(u)).astype(np.int64)
-
+    known, a, b, n = np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
     for _, _, g, places, s in slices(texts):
         codes, u = pd.factorize(g)
         first = np.empty(len(u), np.int64)
         first[codes[::-1]] = places[::-1]
-        held.append((u, *_keys(s, first), np.bincount(codes, minlength=len(u))))
-        if len(held) > 3:
-            held = [merged()]
-    return merged()
+        order = np.argsort(u)
+        u, first, more = u[order], first[order], np.bincount(codes, minlength=len(u))[order]
+        # What is known is only counted; the rest is put in its place, so that no more than the distinct n-grams is copied.
+        at = np.searchsorted(known, u)
+        old = np.zeros(len(u), bool)
+        old[at < len(known)] = known[at[at < len(known)]] == u[at < len(known)]
+        n[at[old]] += more[old]
+        if not old.all():
+            at, new = at[~old], ~old
+            known, n = np.insert(known, at, u[new]), np.insert(n, at, more[new])
+            x, y = _keys(s, first[new])
+            a, b = np.insert(a, at, x), np.insert(b, at, y)
+    return known, a, b, n
+
+
+def _pieces(batch: pa.RecordBatch):
+    """A large batch ``PIECE`` rows at a time, which the JVM then holds one by one; an empty one as it is."""
+    for at in range(0, max(1, batch.num_rows), PIECE):
+        yield batch.slice(at, PIECE)
 
 
 # ---- groups of rows ---------------------------------------------------------------------------------------------
@@ -160,7 +170,9 @@ def _counted(batches):
         for blob, places in zip(batch.column("blob"), batch.column("trusted")):
             mine = set(places.as_py())
             _, a, b, n = distinct_grams(t for i, t in enumerate(group_texts(blob)) if i in mine)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], ["a", "b", "n"])
+            yield from _pieces(pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], ["a", "b", "n"]))
+            del a, b, n
+            release()
 
 
 def count_grams(groups: DataFrame, places: DataFrame) -> DataFrame:
@@ -232,7 +244,9 @@ def _asked(batches):
             _, a, b, _ = distinct_grams(group_texts(blob))
             # Neighbours in the order of the keys compress well.
             i = np.lexsort((b, a))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), grp.as_py(), np.int64)), pa.array(i.astype(np.int32)), pa.array(a[i]), pa.array(b[i])], ["grp", "i", "a", "b"])
+            yield from _pieces(pa.RecordBatch.from_arrays([pa.array(np.full(len(a), grp.as_py(), np.int64)), pa.array(i.astype(np.int32)), pa.array(a[i]), pa.array(b[i])], ["grp", "i", "a", "b"]))
+            del a, b, i
+            release()
 
 
 def sums(texts, answer) -> dict[int, float]:
@@ -273,6 +287,7 @@ def _scored(schema: pa.Schema):
                     row = part.column("row").cast(schema.field("row").type)
                     yield pa.RecordBatch.from_arrays([row, pa.array(per), pa.array(chars), pa.array([at + i in good for i in range(n)], pa.bool_())], schema=schema)
                     at += n
+                release()
 
     return of
 

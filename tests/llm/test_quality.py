@@ -2,9 +2,12 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerloom.llm import common, kn_quality
@@ -133,3 +136,73 @@ def test_bucketed_joins_move_one_side(spark):
     df = common.bucketed(spark.range(50).withColumnRenamed("id", "grp"), "grp", "t")
     joined = df.join(spark.range(50).withColumnRenamed("id", "grp").hint("merge"), "grp")
     assert joined.count() == 50 and joined._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 1
+
+
+def _handed(texts, rows=1000):
+    """Batches (row, id, t) as Spark hands them to a worker: each in one piece of memory."""
+    for at in range(0, len(texts), rows):
+        part = texts[at : at + rows]
+        ids = pa.array(range(at, at + len(part)), pa.int64())
+        batch = pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([ids], ["doc_id"]), ids, pa.array(part, pa.string())], ["row", "id", "t"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema) as out:
+            out.write_batch(batch)
+        yield pa.ipc.open_stream(sink.getvalue()).read_next_batch()
+
+
+def test_a_group_is_held_as_its_blob_alone(monkeypatch):
+    """While a worker packs a group, it holds what is compressed, not the texts; nothing is lost or moved."""
+    monkeypatch.setattr(common, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    rng = random.Random(11)
+    texts = [prose(rng, 20) + "  x" * 600 if i % 50 else None for i in range(9000)]
+    clean = [kn_quality.clean(t) for t in texts]
+    size, held, before = sum(map(len, clean)), [0], pa.total_allocated_bytes()
+
+    def watched():
+        for batch in _handed(texts, 250):
+            held.append(pa.total_allocated_bytes() - before)
+            yield batch
+
+    groups = list(common._packed(size * 2 // 3, kn_quality.clean)(watched()))
+    assert max(held) < size / 4
+    assert [g.column("grp")[0].as_py() for g in groups] == [3 << 24, (3 << 24) + 1]
+    assert [t for g in groups for t in common.group_texts(g.column("blob")[0])] == clean
+    rows = [r["doc_id"] for g in groups for part in common.group_parts(g.column("blob")[0]) for r in part.column("row").to_pylist()]
+    assert rows == list(range(9000)) == [i for g in groups for i in g.column("ids")[0].as_py()]
+
+
+def test_distinct_grams_copy_little(monkeypatch):
+    """Parts that share n-grams and parts that don't add up, and memory stays near the size of the answer."""
+    monkeypatch.setattr(kn_quality, "SLICE", 1 << 14)
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, rng.integers(97, 123, 2000))) for _ in range(200)] * 2
+    tracemalloc.start()
+    try:
+        g, a, b, n = kn_quality.distinct_grams(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    want = Counter(_strings(texts))
+    assert dict(zip(zip(a.tolist(), b.tolist()), n.tolist())) == {kn_quality.key_of(x): c for x, c in want.items()}
+    assert (g[1:] > g[:-1]).all()
+    assert peak < 2 * 32 * len(g)
+
+
+def test_wide_answers_go_out_in_pieces(monkeypatch):
+    """n-grams of a group leave the worker some rows at a time: all of them, once each, numbered by their digests."""
+    monkeypatch.setattr(kn_quality, "PIECE", 100)
+    rng = random.Random(5)
+    texts = _texts(rng)
+    batch = next(_handed(texts))
+    packed = pa.BufferOutputStream()
+    with pa.ipc.new_stream(packed, batch.select(["row", "t"]).schema) as out:
+        out.write_batch(batch.select(["row", "t"]))
+    group = pa.RecordBatch.from_arrays([pa.array([7], pa.int64()), pa.array([packed.getvalue().to_pybytes()], pa.binary()), pa.array([list(range(30))])], ["grp", "blob", "trusted"])
+    _, a, b, n = kn_quality.distinct_grams(texts)
+    asked, counted = list(kn_quality._asked([group])), list(kn_quality._counted([group]))
+    assert max(x.num_rows for x in (*asked, *counted)) == 100
+    rows = [tuple(r.values()) for x in asked for r in x.to_pylist()]
+    assert sorted(rows, key=lambda r: r[1]) == list(zip([7] * len(a), range(len(a)), a.tolist(), b.tolist()))
+    assert [tuple(r.values()) for x in counted for r in x.to_pylist()] == list(zip(a.tolist(), b.tolist(), n.tolist()))
+    empty = group.set_column(2, "trusted", pa.array([[]], pa.list_(pa.int64())))
+    assert [x.num_rows for x in kn_quality._counted([empty])] == [0]

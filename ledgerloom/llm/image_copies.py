@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import bucketed, forget, text_udf, written
-from .components import components
+from .components import components, stars
 
 SCALES = (1.0, 1.5)
 RADIUS = 7
@@ -304,19 +304,6 @@ def _deals(key: np.ndarray, values: np.ndarray, parts: int) -> tuple[pa.Array, p
     return pa.array(part[first]), pa.Array.from_buffers(pa.binary(), len(first), [None, ends, pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def _stars(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span what the links (a, b) between 0..n-1 connect: each number that is not its component's smallest, and that one."""
-    label = np.arange(n)
-    while True:
-        x, y = label[a], label[b]
-        if (x == y).all():
-            node = np.flatnonzero(label != np.arange(n))
-            return node, label[node]
-        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-        while (label[label] != label).any():
-            label = label[label]
-
-
 def _near(x: np.ndarray, key: np.ndarray, pieces, hot: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links between different descriptors ``x`` of equal keys that differ in at most MAX_BITS.
 
@@ -343,10 +330,10 @@ def _near(x: np.ndarray, key: np.ndarray, pieces, hot: int) -> tuple[np.ndarray,
         b.append(order[near + apart])
         held, apart = held + len(near), apart + 1
         if held > 1 << 20:
-            a, b = ([v] for v in _stars(n, np.concatenate(a), np.concatenate(b)))
+            a, b = ([v] for v in stars(n, np.concatenate(a), np.concatenate(b)))
             held = 0
     none = np.zeros(0, np.int64)
-    return _stars(n, np.concatenate([none, *a]), np.concatenate([none, *b]))
+    return stars(n, np.concatenate([none, *a]), np.concatenate([none, *b]))
 
 
 def _mask(start: int, stop: int) -> int:
@@ -519,7 +506,7 @@ def _key_links(key: np.ndarray, image: np.ndarray) -> tuple[np.ndarray, np.ndarr
     first = np.r_[True, k[1:] != k[:-1]][: len(k)]
     lead = order[np.flatnonzero(first)[np.cumsum(first) - 1]]
     names, number = np.unique(image, return_inverse=True)
-    node, root = _stars(len(names), number[order], number[lead])
+    node, root = stars(len(names), number[order], number[lead])
     return order[first], names[node], names[root]
 
 

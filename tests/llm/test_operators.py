@@ -270,6 +270,33 @@ def test_components_of_paths_and_stars(spark):
     assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+@pytest.mark.parametrize("whole", [-1, 1 << 20])
+def test_components_in_one_task_and_in_rounds_are_those_of_plain_search(spark, monkeypatch, whole):
+    monkeypatch.setattr(components, "WHOLE", whole)
+    rng = random.Random(8)
+    names = [rng.randint(-(1 << 63), (1 << 63) - 1) for _ in range(120)]
+    chain = sorted(names[100:], key=lambda _: rng.random())
+    links = [(rng.choice(names[:100]), rng.choice(names[:100])) for _ in range(80)] + list(zip(chain, chain[1:])) * 2 + [(None, names[0])]
+    root = {n: n for n in names}
+    for a, b in [x for x in links if x[0] is not None] * 120:
+        root[a] = root[b] = min(root[a], root[b])
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a bigint, b bigint").repartition(5)).collect()}
+    assert {n: got.get(n, n) for n in names} == root and set(got) <= set(names) and len(set(root.values())) > 10
+
+
+def test_components_of_few_links_take_few_tasks(spark):
+    """Rounds of joins, some of a dozen stages each, took most of the time where shuffles have many partitions."""
+    links = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(1000, k) for k in range(1001, 1300)], "a bigint, b bigint").coalesce(1)
+    spark.sparkContext.setJobGroup("few-links", "")
+    try:
+        assert components.components(links).select("root").distinct().count() == 2
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("few-links") for s in tracker.getJobInfo(j).stageIds]
+    assert 0 < sum(s.numTasks for s in stages if s) < 60
+
+
 # ---- 7 ----------------------------------------------------------------------------------------------------------
 
 
